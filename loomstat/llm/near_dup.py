@@ -8,8 +8,9 @@ similarity J stays together in some child with probability 1-(1-J)**BRANCH,
 so the number of trees follows from the target recall. A node of at most
 `small` documents is compared exhaustively. A larger one is compared with its
 pivot (its smallest document) and branches on; nodes whose documents are
-linked already, directly or not, end. Nodes that are still large at
-`max_depth` are compared pivot by pivot until they end, so none is capped.
+linked already, directly or not, end. In nodes that are still large at
+`max_depth`, every document outside the pivot's component is compared, in
+blocks, with the whole node, so none is capped.
 
 Candidates pass a sketch test that a true link fails with a probability under
 1e-6 and are then confirmed on full shingle sets. Links are merged to
@@ -86,8 +87,30 @@ def components(edges: DataFrame) -> DataFrame:
     return found if found is not None else edges.select(F.col("a").alias("id"), F.col("a").alias("label")).limit(0)
 
 
+def small_pairs(live: DataFrame) -> DataFrame:
+    """All pairs of documents not yet linked, of nodes of bounded size."""
+    lists = live.groupBy("key").agg(F.collect_list(F.struct("rep", "label")).alias("all")).select("all", F.explode("all").alias("x"))
+    lists = lists.select("x", F.explode(F.filter("all", lambda y: (y["rep"] > F.col("x.rep")) & (y["label"] != F.col("x.label")))).alias("y"))
+    return lists.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+
+def pivot_pairs(live: DataFrame) -> DataFrame:
+    """Each document with its node's pivot."""
+    return live.where(F.col("label") != F.col("pivot.label")).select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b"))
+
+
+def cross_pairs(live: DataFrame, block: int) -> DataFrame:
+    """All pairs of documents not yet linked, of nodes of any size, in blocks: what isn't linked with the pivot meets the whole node."""
+    parts = F.greatest(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
+    whole = live.select("key", "rep", "label", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), (F.col("label") == F.col("pivot.label")).alias("in"))
+    others = live.where(F.col("label") != F.col("pivot.label")).select("key", F.col("rep").alias("orep"), F.col("label").alias("olabel"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    whole, others = whole.alias("w"), others.alias("o")
+    on = (F.col("w.key") == F.col("o.key")) & (F.col("w.part") == F.col("o.part")) & (F.col("label") != F.col("olabel")) & (F.col("in") | (F.col("rep") > F.col("orep")))
+    return whole.join(others, on).select(F.least("rep", "orep").alias("a"), F.greatest("rep", "orep").alias("b"))
+
+
 def near_duplicates(
-    docs: DataFrame, *, text_col: str = "text", shingle: int = 5, percent: int = 85, recall: float = 0.99999, sketch: int = 64, small: int = 32, max_depth: int = 5, seed: int = 3, broadcast_ids: int = 500_000
+    docs: DataFrame, *, text_col: str = "text", shingle: int = 5, percent: int = 85, recall: float = 0.99999, sketch: int = 64, small: int = 64, block: int = 256, max_depth: int = 2, seed: int = 3, broadcast_ids: int = 500_000
 ) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept."""
     s = percent / 100
@@ -112,9 +135,7 @@ def near_duplicates(
     keys = F.array(*[F.xxhash64(F.lit(t // BRANCH), F.lit(int(c)), F.get("mh", F.lit(int(c)))) for t, c in enumerate(roots)])
     nodes = reps.select("rep", F.explode(keys).alias("key"))
     labels, links = None, None
-    depth = 0
-    while True:
-        depth += 1
+    for depth in range(1, max_depth + 2):
         if labels is not None:
             nodes = nodes.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         else:
@@ -124,19 +145,18 @@ def near_duplicates(
         live = materialize(nodes.join(stats, "key"), "nodes")
         if live.isEmpty():
             break
-        lists = live.where(F.col("n") <= small).groupBy("key").agg(F.collect_list(F.struct("rep", "label")).alias("all"))
-        lists = lists.select("all", F.explode("all").alias("x")).select("x", F.explode(F.filter("all", lambda y: (y["rep"] > F.col("x.rep")) & (y["label"] != F.col("x.label")))).alias("y"))
-        pairs = lists.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).union(live.where((F.col("n") > small) & (F.col("label") != F.col("pivot.label"))).select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b")))
+        last = depth > max_depth
+        pairs = cross_pairs(live, block) if last else small_pairs(live.where(F.col("n") <= small)).union(pivot_pairs(live.where(F.col("n") > small)))
         edges = confirm(pairs.distinct(), reps, known, text_col=text_col, shingle=shingle, percent=percent, least=least, broadcast_ids=broadcast_ids)
         if edges is not None:
             links = edges if links is None else materialize(links.union(edges), "links")
             labels = components(links).withColumnRenamed("id", "rep")
-        large = live.where(F.col("n") > small)
+        if last:
+            break
+        nodes = live.where(F.col("n") > small).select("key", "rep")
         if depth < max_depth:
             child = [F.pmod(F.xxhash64("key", F.lit(j)), F.lit(sketch)).cast("int") for j in range(BRANCH)]
-            nodes = large.select("key", "rep").join(reps, "rep").select("rep", F.explode(F.array(*[F.xxhash64("key", c, F.get("mh", c)) for c in child])).alias("key"))
-        else:
-            nodes = large.where(F.col("rep") != F.col("pivot.rep")).select("rep", "key")
+            nodes = nodes.join(reps, "rep").select("rep", F.explode(F.array(*[F.xxhash64("key", c, F.get("mh", c)) for c in child])).alias("key"))
     out = members
     if labels is not None:
         out = members.join(labels, "rep", "left").select("doc_id", "n", F.coalesce("label", "rep").alias("rep"))
