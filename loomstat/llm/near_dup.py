@@ -6,10 +6,10 @@ selected minwise tokens: a node selects `BRANCH` of the `sketch` minhash
 coordinates and sends a document to the child of its value in each. A pair of
 similarity J stays together in some child with probability 1-(1-J)**BRANCH,
 so the number of trees follows from the target recall. A node of at most
-`small` documents is compared exhaustively. A larger one is compared with its
-pivot (its smallest document) and branches on; nodes whose documents are
+`small` documents is compared exhaustively. A larger one is compared with
+`pivots` of its documents, chosen by hash, and branches on; nodes whose documents are
 linked already, directly or not, end. In nodes that are still large at
-`max_depth`, every document outside the pivot's component is compared, in
+`max_depth`, every document outside the pivots' main component is compared, in
 blocks, with the whole node, so none is capped.
 
 Candidates pass a sketch test that a true link fails with a probability under
@@ -95,22 +95,23 @@ def small_pairs(live: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(live: DataFrame) -> DataFrame:
-    """Each document with its node's pivot."""
-    return live.where(F.col("label") != F.col("pivot.label")).select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b"))
+    """Each document with those of its node's pivots that it isn't linked with."""
+    pairs = live.select("rep", "label", F.explode("pivots").alias("p")).where("label <> p.label")
+    return pairs.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
 
 
 def cross_pairs(live: DataFrame, block: int) -> DataFrame:
-    """All pairs of documents not yet linked, of nodes of any size, in blocks: what isn't linked with the pivot meets the whole node."""
+    """All pairs of documents not yet linked, of nodes of any size, in blocks: what is outside the component of most pivots meets the whole node."""
     parts = F.greatest(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
-    whole = live.select("key", "rep", "label", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), (F.col("label") == F.col("pivot.label")).alias("in"))
-    others = live.where(F.col("label") != F.col("pivot.label")).select("key", F.col("rep").alias("orep"), F.col("label").alias("olabel"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    whole = live.select("key", "rep", "label", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), (F.col("label") == F.col("main")).alias("in"))
+    others = live.where(F.col("label") != F.col("main")).select("key", F.col("rep").alias("orep"), F.col("label").alias("olabel"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     whole, others = whole.alias("w"), others.alias("o")
     on = (F.col("w.key") == F.col("o.key")) & (F.col("w.part") == F.col("o.part")) & (F.col("label") != F.col("olabel")) & (F.col("in") | (F.col("rep") > F.col("orep")))
     return whole.join(others, on).select(F.least("rep", "orep").alias("a"), F.greatest("rep", "orep").alias("b"))
 
 
 def near_duplicates(
-    docs: DataFrame, *, text_col: str = "text", shingle: int = 5, percent: int = 85, recall: float = 0.99999, sketch: int = 64, small: int = 64, block: int = 256, max_depth: int = 2, seed: int = 3, broadcast_ids: int = 500_000
+    docs: DataFrame, *, text_col: str = "text", shingle: int = 5, percent: int = 85, recall: float = 0.99999, sketch: int = 64, small: int = 64, block: int = 256, pivots: int = 5, max_depth: int = 2, seed: int = 3, broadcast_ids: int = 500_000
 ) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept."""
     s = percent / 100
@@ -141,7 +142,9 @@ def near_duplicates(
         else:
             nodes = nodes.withColumn("label", F.col("rep"))
         nodes = nodes.distinct()
-        stats = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("rep", "label")).alias("pivot")).where("n > 1 and lo <> hi").drop("lo", "hi")
+        stats = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64(F.lit(depth), F.lit(j), "rep").alias("h"), "rep", "label")) for j in range(pivots)])).alias("pivots")).where("n > 1 and lo <> hi").drop("lo", "hi")
+        own = F.transform("pivots", lambda p: p["label"])
+        stats = stats.withColumn("main", F.array_max(F.transform(own, lambda x: F.struct(F.size(F.filter(own, lambda y: y == x)).alias("c"), x.alias("l"))))["l"])
         live = materialize(nodes.join(stats, "key"), "nodes")
         if live.isEmpty():
             break
