@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
-
 
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once."""

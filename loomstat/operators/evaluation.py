@@ -40,22 +40,25 @@ def _safe(a: Column, b: Column, zero=0.0) -> Column:
 # ---- regression: aggregate expressions, so that any number of them share one scan
 
 Y, P = "__y", "__p"
-_ERR = F.col(Y) - F.col(P)
 EPS = 1e-10
 
 
+def _err() -> Column:
+    return F.col(Y) - F.col(P)
+
+
 def _r2() -> Column:
     n, s, q = F.count(Y), F.sum(Y), F.sum(F.col(Y) * F.col(Y))
     tot = q - s * s / n
-    return F.when(tot <= 0, 0.0).otherwise(1 - F.sum(_ERR * _ERR) / tot)
+    return F.when(tot <= 0, 0.0).otherwise(1 - F.sum(_err() * _err()) / tot)
 
 
 REGRESSION: dict[str, Callable[..., Column]] = {
-    "mae_metric": lambda: F.avg(F.abs(_ERR)),
-    "mse_metric": lambda: F.avg(_ERR * _ERR),
-    "rmse_metric": lambda: F.sqrt(F.avg(_ERR * _ERR)),
-    "mape_metric": lambda epsilon=EPS: 100 * F.avg(F.abs(_ERR / (F.col(Y) + epsilon))),
-    "smape_metric": lambda epsilon=EPS: 100 * F.avg(F.abs(_ERR) / ((F.abs(Y) + F.abs(P)) / 2 + epsilon)),
+    "mae_metric": lambda: F.avg(F.abs(_err())),
+    "mse_metric": lambda: F.avg(_err() * _err()),
+    "rmse_metric": lambda: F.sqrt(F.avg(_err() * _err())),
+    "mape_metric": lambda epsilon=EPS: 100 * F.avg(F.abs(_err() / (F.col(Y) + epsilon))),
+    "smape_metric": lambda epsilon=EPS: 100 * F.avg(F.abs(_err()) / ((F.abs(Y) + F.abs(P)) / 2 + epsilon)),
     "r2_metric": _r2,
 }
 
@@ -79,14 +82,14 @@ def _lagged(df: DataFrame, truth: str, pred: str, order: str, series, lag: int)
 def mase_metric(df, truth, pred, order, series=(), seasonality=1):
     """Mean absolute error over that of the seasonal naive forecast; without a naive error, over 1."""
     naive = F.avg(F.abs(F.col(Y) - F.col("__lag")))
-    mae = F.avg(F.abs(_ERR))
+    mae = F.avg(F.abs(_err()))
     return _by(_lagged(df, truth, pred, order, series, seasonality), series, F.when(F.coalesce(naive, F.lit(0.0)) == 0, mae).otherwise(mae / naive).alias("mase"))
 
 
 @metric
 def theils_u_metric(df, truth, pred, order, series=()):
     naive = F.sqrt(F.avg(F.pow(F.col(Y) - F.coalesce("__lag", Y), 2)))
-    rmse = F.sqrt(F.avg(_ERR * _ERR))
+    rmse = F.sqrt(F.avg(_err() * _err()))
     u = F.when(F.count(Y) <= 1, 1.0).when(naive == 0, F.when(rmse == 0, 1.0).otherwise(float("inf"))).otherwise(rmse / naive)
     return _by(_lagged(df, truth, pred, order, series, 1), series, u.alias("theils_u"))
 
@@ -94,9 +97,9 @@ def theils_u_metric(df, truth, pred, order, series=()):
 @metric
 def forecasting_metrics(df, truth, pred, order, series=(), epsilon=1e-8, max_dtw_len=2000, naive_error=None):
     rows = _lagged(df, truth, pred, order, series, 1).withColumn("__o", F.col(Y))
-    mae = F.avg(F.abs(_ERR))
+    mae = F.avg(F.abs(_err()))
     naive = F.lit(float(naive_error)) if naive_error is not None else F.avg(F.abs(F.col(Y) - F.col("__lag")))
-    out = _by(rows, series, F.avg(_ERR * _ERR).alias("mse"), F.sqrt(F.avg(_ERR * _ERR)).alias("rmse"), mae.alias("mae"), (100 * F.avg(F.abs(_ERR) / (F.abs(Y) + epsilon))).alias("mape"), REGRESSION["smape_metric"](epsilon).alias("smape"), (mae / (naive + epsilon)).alias("mase"), _r2().alias("r2"))
+    out = _by(rows, series, F.avg(_err() * _err()).alias("mse"), F.sqrt(F.avg(_err() * _err())).alias("rmse"), mae.alias("mae"), (100 * F.avg(F.abs(_err()) / (F.abs(Y) + epsilon))).alias("mape"), REGRESSION["smape_metric"](epsilon).alias("smape"), (mae / (naive + epsilon)).alias("mase"), _r2().alias("r2"))
     dtw = per_series(df, [truth, pred], lambda y, p: [E.dtw(y[:: -(-len(y) // max_dtw_len)], p[:: -(-len(p) // max_dtw_len)])[0]], "dtw double", order, series)
     return out.join(dtw, list(series)) if series else out.crossJoin(dtw)  # one row each
 
