@@ -93,8 +93,7 @@ def smooth(a: Column, win: int, each) -> Column:
 
 def gradient(a: Column) -> Column:
     """Central differences, one-sided at the ends."""
-    n = F.size(a)
-    return let(a, lambda v: F.transform(v, lambda x, i: F.when(n < 2, 0.0).when(i == 0, F.get(v, F.lit(1)) - x).when(i == F.size(v) - 1, x - F.get(v, i - 1)).otherwise((F.get(v, i + 1) - F.get(v, i - 1)) / 2)))
+    return let(a, lambda v: F.transform(v, lambda x, i: F.when(F.size(v) < 2, 0.0).when(i == 0, F.get(v, F.lit(1)) - x).when(i == F.size(v) - 1, x - F.get(v, i - 1)).otherwise((F.get(v, i + 1) - F.get(v, i - 1)) / 2)))
 
 
 def second_difference(a: Column) -> Column:
