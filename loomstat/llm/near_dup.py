@@ -8,7 +8,8 @@ similarity J stays together in some child with probability 1-(1-J)**BRANCH,
 so the number of trees follows from the target recall. A node of at most
 `small` documents is compared exhaustively. A larger one is compared with
 `pivots` of its documents, chosen by hash, and branches on; nodes whose documents are
-linked already, directly or not, end. In nodes that are still large at
+linked already, directly or not, end. Pairs are tested on size and sketch where
+they meet, so only likely ones leave a node. In nodes that are still large at
 `max_depth`, every document outside the pivots' main component is compared, in
 blocks, with the whole node, so none is capped.
 
@@ -87,31 +88,45 @@ def components(edges: DataFrame) -> DataFrame:
     return found if found is not None else edges.select(F.col("a").alias("id"), F.col("a").alias("label")).limit(0)
 
 
-def small_pairs(live: DataFrame) -> DataFrame:
-    """All pairs of documents not yet linked, of nodes of bounded size."""
-    lists = live.groupBy("key").agg(F.collect_list(F.struct("rep", "label")).alias("all")).select("all", F.explode("all").alias("x"))
-    lists = lists.select("x", F.explode(F.filter("all", lambda y: (y["rep"] > F.col("x.rep")) & (y["label"] != F.col("x.label")))).alias("y"))
-    return lists.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+def likely(x: str, y: str, percent: int, least: int) -> Column:
+    """Whether two documents aren't linked yet, are near enough in size for a link, and agree in enough of the sketch."""
+    sizes = F.least(f"{x}.n", f"{y}.n") * 100 >= F.greatest(f"{x}.n", f"{y}.n") * percent
+    same = F.aggregate(F.zip_with(f"{x}.mh", f"{y}.mh", lambda u, v: (u == v).cast("int")), F.lit(0), lambda t, u: t + u)
+    return (F.col(f"{x}.label") != F.col(f"{y}.label")) & sizes & (same >= least)
 
 
-def pivot_pairs(live: DataFrame) -> DataFrame:
-    """Each document with those of its node's pivots that it isn't linked with."""
-    pairs = live.select("rep", "label", F.explode("pivots").alias("p")).where("label <> p.label")
-    return pairs.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.least(f"{x}.rep", f"{y}.rep").alias("a"), F.greatest(f"{x}.rep", f"{y}.rep").alias("b")]
 
 
-def cross_pairs(live: DataFrame, block: int) -> DataFrame:
-    """All pairs of documents not yet linked, of nodes of any size, in blocks: what is outside the component of most pivots meets the whole node."""
-    parts = F.greatest(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
-    whole = live.select("key", "rep", "label", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), (F.col("label") == F.col("main")).alias("in"))
-    others = live.where(F.col("label") != F.col("main")).select("key", F.col("rep").alias("orep"), F.col("label").alias("olabel"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    whole, others = whole.alias("w"), others.alias("o")
-    on = (F.col("w.key") == F.col("o.key")) & (F.col("w.part") == F.col("o.part")) & (F.col("label") != F.col("olabel")) & (F.col("in") | (F.col("rep") > F.col("orep")))
-    return whole.join(others, on).select(F.least("rep", "orep").alias("a"), F.greatest("rep", "orep").alias("b"))
+def small_pairs(nodes: DataFrame, percent: int, least: int) -> DataFrame:
+    """Likely pairs within nodes of bounded size."""
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & likely("x", "y", percent, least)
+    return nodes.alias("x").join(nodes.alias("y"), on).select(*_ordered("x", "y"))
+
+
+def pivot_pairs(nodes: DataFrame, pivots: DataFrame, percent: int, least: int) -> DataFrame:
+    """Likely pairs of a node's documents with its pivots."""
+    on = (F.col("x.key") == F.col("p.key")) & likely("x", "p", percent, least)
+    return nodes.alias("x").join(pivots.alias("p"), on).select(*_ordered("x", "p"))
+
+
+def cross_pairs(nodes: DataFrame, percent: int, least: int, block: int) -> DataFrame:
+    """Likely pairs within nodes of any size, in blocks: what is outside the component of most pivots meets the whole node.
+
+    A pair that several nodes hold comes from the one with the smallest key.
+    """
+    count = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = F.greatest(F.ceil(F.col("size") / block), F.lit(1)).cast("int")
+    whole = nodes.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("in", F.col("label") == F.col("main"))
+    others = nodes.where("label <> main").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    once = F.array_min(F.array_intersect("o.keys", "w.keys")) == F.col("o.key")
+    on = (F.col("o.key") == F.col("w.key")) & (F.col("o.part") == F.col("w.part")) & (F.col("in") | (F.col("w.rep") > F.col("o.rep"))) & likely("o", "w", percent, least) & once
+    return others.repartition(count, "key", "part").alias("o").join(whole.repartition(count, "key", "part").alias("w"), on).select(*_ordered("o", "w"))
 
 
 def near_duplicates(
-    docs: DataFrame, *, text_col: str = "text", shingle: int = 5, percent: int = 85, recall: float = 0.99999, sketch: int = 64, small: int = 64, block: int = 256, pivots: int = 5, max_depth: int = 2, seed: int = 3, broadcast_ids: int = 500_000
+    docs: DataFrame, *, text_col: str = "text", shingle: int = 5, percent: int = 85, recall: float = 0.99999, sketch: int = 64, small: int = 64, block: int = 1024, pivots: int = 5, max_depth: int = 2, seed: int = 3, broadcast_ids: int = 500_000
 ) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept."""
     s = percent / 100
@@ -129,7 +144,7 @@ def near_duplicates(
     sets = materialize(sketches(known, text_col, shingle, sketch, seed), "sketches")
     classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     members = materialize(sets.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    reps = materialize(sets.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "mh"), "representatives")
+    reps = materialize(sets.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "mh"), "representatives")
 
     rng = np.random.default_rng([seed, 1])
     roots = rng.permutation(sketch)[: trees * BRANCH]
@@ -142,21 +157,28 @@ def near_duplicates(
         else:
             nodes = nodes.withColumn("label", F.col("rep"))
         nodes = nodes.distinct()
-        stats = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64(F.lit(depth), F.lit(j), "rep").alias("h"), "rep", "label")) for j in range(pivots)])).alias("pivots")).where("n > 1 and lo <> hi").drop("lo", "hi")
+        stats = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64(F.lit(depth), F.lit(j), "rep").alias("h"), "rep", "label")) for j in range(pivots)])).alias("pivots")).where("size > 1 and lo <> hi").drop("lo", "hi")
         own = F.transform("pivots", lambda p: p["label"])
         stats = stats.withColumn("main", F.array_max(F.transform(own, lambda x: F.struct(F.size(F.filter(own, lambda y: y == x)).alias("c"), x.alias("l"))))["l"])
         live = materialize(nodes.join(stats, "key"), "nodes")
         if live.isEmpty():
             break
         last = depth > max_depth
-        pairs = cross_pairs(live, block) if last else small_pairs(live.where(F.col("n") <= small)).union(pivot_pairs(live.where(F.col("n") > small)))
-        edges = confirm(pairs.distinct(), reps, known, text_col=text_col, shingle=shingle, percent=percent, least=least, broadcast_ids=broadcast_ids)
+        if last:
+            held = live.groupBy("rep").agg(F.collect_set("key").alias("keys"))
+            pairs = cross_pairs(live.drop("pivots").join(held, "rep").join(reps, "rep"), percent, least, block)
+        else:
+            large = live.where(F.col("size") > small)
+            lead = large.select("key", F.explode("pivots").alias("p")).select("key", "p.rep", "p.label").distinct()
+            full = [x.select("key", "rep", "label").join(reps, "rep") for x in (live.where(F.col("size") <= small), large, lead)]
+            pairs = small_pairs(full[0], percent, least).union(pivot_pairs(full[1], full[2], percent, least)).distinct()
+        edges = confirm(pairs, known, text_col=text_col, shingle=shingle, percent=percent, broadcast_ids=broadcast_ids)
         if edges is not None:
             links = edges if links is None else materialize(links.union(edges), "links")
             labels = components(links).withColumnRenamed("id", "rep")
         if last:
             break
-        nodes = live.where(F.col("n") > small).select("key", "rep")
+        nodes = large.select("key", "rep")
         if depth < max_depth:
             child = [F.pmod(F.xxhash64("key", F.lit(j)), F.lit(sketch)).cast("int") for j in range(BRANCH)]
             nodes = nodes.join(reps, "rep").select("rep", F.explode(F.array(*[F.xxhash64("key", c, F.get("mh", c)) for c in child])).alias("key"))
@@ -170,21 +192,19 @@ def near_duplicates(
     return out.union(loose) if spark else out
 
 
-def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, *, text_col: str, shingle: int, percent: int, least: int, broadcast_ids: int) -> DataFrame | None:
-    """The pairs (a, b) whose full sets are similar enough; None if there are none to look at."""
-    left = reps.select(F.col("rep").alias("a"), F.col("mh").alias("ma"))
-    right = reps.select(F.col("rep").alias("b"), F.col("mh").alias("mb"))
-    same = F.aggregate(F.zip_with("ma", "mb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    likely = materialize(pairs.join(right, "b").join(left, "a").where(same >= least).select("a", "b"), "likely")
-    ids = materialize(likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct(), "likely-ids")
+def confirm(pairs: DataFrame, docs: DataFrame, *, text_col: str, shingle: int, percent: int, broadcast_ids: int) -> DataFrame | None:
+    """The pairs (a, b) whose full sets are similar enough; None if there are none."""
+    pairs = materialize(pairs, "likely")
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "likely-ids")
     n = ids.count()
     if not n:
         return None
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col).join(F.broadcast(ids) if n <= broadcast_ids else ids, "doc_id", "left_semi")
     sets = materialize(full_sets(texts, text_col, shingle), "sets").dropDuplicates(["id"])
-    both = likely.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
-    return materialize(both.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b"), "links")
+    links = materialize(both.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b"), "links")
+    return None if links.isEmpty() else links
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
