@@ -1,12 +1,15 @@
 """Line dedup by winnowing over line hashes.
 
 A window is the shortest run of consecutive non-blank lines, from a given
-line on, that holds `min_words` (50) words: a long line is a window by itself.
-The minimum line hash inside a window is its fingerprint, so any repeated run
-of whole lines with that many words shares a fingerprint with its earlier
-occurrence (the winnowing guarantee). Positions of repeated fingerprints are
-joined, hits are extended to the windows around them, and overlapping windows
-join to runs. Every occurrence of a window but its first (by doc_id, then
+line on or up to a given line, that holds `min_words` (50) words: a long line
+is a window by itself. The minimum line hash inside a window is its
+fingerprint, so any repeated run of whole lines with that many words shares a
+fingerprint with its earlier occurrence (the winnowing guarantee). Positions
+of repeated fingerprints are joined, hits are extended to the windows around
+them, and overlapping windows join to runs. A line of a repeated run lies in
+the window that ends at it or, near the start, in the one that begins with
+the run, so runs are deleted to their last line, whichever earlier occurrence
+they repeat. Every occurrence of a window but its first (by doc_id, then
 text hash, then line) is deleted; lines that belong to the first occurrence
 itself stay when an occurrence overlaps it in the same document.
 
@@ -30,11 +33,17 @@ def repeated_runs(docs: DataFrame, *, text_col: str = "text", min_words: int = 5
     lines = lines.repartition("doc_id", "__th").dropDuplicates(["doc_id", "__th", "__pos"])
     doc = Window.partitionBy("doc_id", "__th")
     before = F.coalesce(F.sum("__wc").over(doc.orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    frame = doc.orderBy("__s").rangeBetween(0, min_words - 1)  # __s grows with each line, so the frame is the window
-    windows = lines.withColumn("__s", before).select(
-        "doc_id", "__th", F.col("__pos").alias("__start"), F.max("__pos").over(frame).alias("__end"), F.sum("__wc").over(frame).alias("__words"),
-        F.min(F.struct("__h", "__pos")).over(frame).alias("__fp"), F.collect_list(F.struct("__h", "__g")).over(frame).alias("__lines"),
-    ).where(F.col("__words") >= min_words)
+    lines = lines.withColumn("__s", before).withColumn("__e", F.col("__s") + F.col("__wc"))
+    # __s and __e grow with each line, so the frames are the windows from a line on and up to a line
+    frames = (doc.orderBy("__s").rangeBetween(0, min_words - 1), doc.orderBy("__e").rangeBetween(1 - min_words, 0))
+    window = lambda w: F.struct(
+        F.min("__pos").over(w).alias("__start"), F.max("__pos").over(w).alias("__end"), F.sum("__wc").over(w).alias("__words"),
+        F.min(F.struct("__h", "__pos")).over(w).alias("__fp"), F.collect_list(F.struct("__h", "__g")).over(w).alias("__lines"),
+    )
+    windows = lines.select("doc_id", "__th", "__wc", *[window(w).alias(n) for n, w in zip(("__on", "__upto"), frames, strict=True)])
+    # up to a line that its first line's own window ends with, the window is that one
+    other = F.when(F.col("__upto.__words") - F.col("__wc") >= min_words, F.array("__on", "__upto")).otherwise(F.array("__on"))
+    windows = windows.select("doc_id", "__th", F.inline(other)).where(F.col("__words") >= min_words)
     windows = windows.select("doc_id", "__th", "__start", "__end", F.col("__fp.__h").alias("__f"), F.col("__fp.__pos").alias("__fpos"), F.xxhash64("__lines").alias("__w1"), F.xxhash64(F.lit(1), "__lines").alias("__w2"))
     windows = materialize(windows, "line-windows")
     spot = F.struct("doc_id", "__th", "__fpos")

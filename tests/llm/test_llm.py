@@ -130,6 +130,36 @@ def test_lines_edges(spark, odd, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def brute_runs(texts, least=50):
+    """Every run of at least so many words that an earlier one equals, whatever its length."""
+    first, cut = {}, defaultdict(set)
+    for k, t in enumerate(texts):
+        lines = [(i, x, len(SPACES.findall(x))) for i, x in enumerate((t or "").split("\n"))]
+        lines = [x for x in lines if x[2]]
+        for a in range(len(lines)):
+            n = 0
+            for b in range(a, len(lines)):
+                n += lines[b][2]
+                if n >= least:
+                    lo, hi = lines[a][0], lines[b][0]
+                    k0, hi0 = first.setdefault(hashlib.sha256("\n".join(x[1] for x in lines[a : b + 1]).encode()).digest(), (k, hi))
+                    if (k0, hi0) != (k, hi):
+                        cut[k] |= set(range(max(lo, hi0 + 1) if k0 == k else lo, hi + 1))
+    return [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in cut[k]) for k, t in enumerate(texts)]
+
+
+def test_lines_whole_runs(spark, docs, data):
+    d = docs.sort_values("doc_id")
+    out = queries.op2_line_dedup(spark, data).toPandas().sort_values("doc_id")
+    assert out["text"].tolist() == brute_runs(d["text"].tolist())
+    line = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    run = "\n".join([line(30, "a"), line(30, "b"), line(10, "c")])
+    texts = [run, f"head\n{run}\ntail", run, f"{line(60, 'x')}\nend", f"{line(60, 'x')}\nother", f"{line(60, 'x')}\nother", "\n".join(["same line here"] * 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r["text"] for r in sorted(rows(line_dedup.dedup_lines(df)), key=lambda r: r["doc_id"])]
+    assert out == brute_runs(texts) and out[:6] == [run, "head\ntail", "", texts[3], "other", ""]
+
+
 # ---- 3 neighbours
 
 
