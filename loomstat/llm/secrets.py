@@ -10,8 +10,8 @@ the size of the character class). A value of `least_log10` (10) or more is
 added as kind `guess`, unless a base span overlaps it; base spans stay
 whatever they cost. Offsets are in code points, ends excluded.
 
-Null text counts as empty. Every text is scanned whole; only the value's
-first 200 characters, the longest value that is taken, are costed.
+Null text counts as empty. Every text is scanned whole, and a value is taken
+and costed to its end, however long it is.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key)["']?[\x20\t]{0,3}(?:[:=]|=>|:=|\bis\b)[\x20\t]{0,3}["'`]?([^\s"'`,;<>(){}\[\]]{6,200})""", re.IGNORECASE | re.ASCII)
+CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key)["']?[\x20\t]{0,3}(?:[:=]|=>|:=|\bis\b)[\x20\t]{0,3}["'`]?([^\s"'`,;<>(){}\[\]]{6,})""", re.IGNORECASE | re.ASCII)
 HINTS = ("passw", "passp", "passc", "pwd", "secret", "token", "credential", "key")
 
 #: Common words of passwords, most frequent first.
@@ -61,6 +61,41 @@ def _char_cost(c: str) -> float:
     return math.log10(33 if c.isascii() else 1000)
 
 
+class _Run:
+    """Spans inside a run of equal labels, at a cost of start + log10(length).
+
+    The cheapest start is found without looking at all: once an earlier start is no dearer than a later one, it stays so.
+    """
+
+    def __init__(self, labels: list, least: int):
+        self.labels, self.least, self.begin, self.starts = labels, least, 0, []
+
+    def cheapest(self, j: int, best: list[float], back: float) -> float:
+        """Of the spans that end at j, one after the other; back: what the start at j - least saves."""
+        if j < 2 or not self.labels[j - 1]:
+            self.starts = []
+            return math.inf
+        if self.labels[j - 1] != self.labels[j - 2]:
+            self.begin, self.starts = j - 2, []
+        i = j - self.least
+        if i >= self.begin:
+            self.starts.append((best[i] - back, i))
+        kept, low, least = [], math.inf, math.inf
+        for b, i in self.starts:
+            cost = b + math.log10(j - i)
+            if cost < least:
+                least = cost
+                kept.append((b, i))
+        # a start that is dearer than a later one from the outset never gets cheaper
+        self.starts = []
+        for b, i in reversed(kept):
+            if b < low:
+                low = b
+                self.starts.append((b, i))
+        self.starts.reverse()
+        return least
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses that the cheapest segmentation needs."""
     n, low = len(value), value.lower()
@@ -76,30 +111,25 @@ def guess_cost(value: str) -> float:
                     break
         if m := _DATE.match(value, i):
             spans.setdefault(m.end(), []).append((i, math.log10(365 * 150 if m.end() - i > 4 else 150)))
-        j = i + 1
-        while j < n and value[j] == value[i]:
-            j += 1
-        for k in range(i + 3, j + 1):
-            spans.setdefault(k, []).append((i, _char_cost(value[i]) + math.log10(k - i)))
-        j = i + 1
-        turns = 0
-        while j < n and _near(low[j - 1], low[j]):
-            turns += j > i + 1 and (_PLACE[low[j]][0] - _PLACE[low[j - 1]][0]) != (_PLACE[low[j - 1]][0] - _PLACE[low[j - 2]][0])
-            j += 1
-            if j - i >= 4:
-                spans.setdefault(j, []).append((i, math.log10(47 * 4 * (j - i)) + turns * math.log10(4)))
-        step = 0
-        j = i + 1
-        while j < n and value[j].isalnum() and (d := ord(value[j]) - ord(value[j - 1])) in (1, -1) and step in (0, d):
-            step = d
-            j += 1
-            if j - i >= 3:
-                spans.setdefault(j, []).append((i, math.log10(62 * 2 * (j - i))))
+    row = [_PLACE[c][0] if c in _PLACE else 0 for c in low]
+    same, walk, step, turned = [False] * n, [False] * n, [0] * n, [0] * (n + 1)  # of each character and the one before; turns of the walk so far
+    for j in range(1, n):
+        same[j] = value[j] == value[j - 1]
+        walk[j] = _near(low[j - 1], low[j])
+        turned[j] = turned[j - 1] + (walk[j] and walk[j - 1] and row[j] - row[j - 1] != row[j - 1] - row[j - 2])
+        d = ord(value[j]) - ord(value[j - 1])
+        step[j] = d if d in (1, -1) and value[j].isalnum() else 0
+    turned[n] = turned[n - 1]
+    turn = math.log10(4)
+    runs = (_Run(same, 3), _Run(walk, 4), _Run(step, 3))
     best = [0.0] + [math.inf] * n
     for j in range(1, n + 1):
         best[j] = best[j - 1] + _char_cost(value[j - 1])
         for i, cost in spans.get(j, ()):
             best[j] = min(best[j], best[i] + cost + 0.3)  # the factor for one more part
+        i = j - 4
+        for run, own, back in ((runs[0], _char_cost(value[j - 1]), 0.0), (runs[1], math.log10(47 * 4) + turn * turned[j - 1], turn * turned[i + 1] if i >= 0 else 0.0), (runs[2], math.log10(62 * 2), 0.0)):
+            best[j] = min(best[j], run.cheapest(j, best, back) + own + 0.3)
     return best[n]
 
 

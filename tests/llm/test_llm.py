@@ -468,6 +468,19 @@ def test_guess_cost():
     assert max(map(secrets.guess_cost, weak)) < 7 < 10 < min(map(secrets.guess_cost, strong)) and secrets.guess_cost("") == 0
 
 
+def test_long_secrets(spark):
+    rng = np.random.default_rng(9)
+    value = "".join(rng.choice(list("abcXYZ019$%&!?"), 700))
+    for word in ("pwd", "passphrase", "private_key", "credentials"):
+        text = f"my {word}: {value} end"
+        at = text.index(value)
+        assert secrets.scan_text(text)[1] == [(at, 3, at + 700)]
+    df = spark.createDataFrame([(1, f"pwd = {value} end")], "doc_id long, text string")
+    assert rows(secrets.mask_secrets(df))[0]["text"] == "pwd = [secret] end"
+    assert secrets.guess_cost("a" * 30_000) < 8 and secrets.guess_cost("1212" * 5_000) < 8  # one span each, however long
+    assert secrets.scan_text("pwd: " + "z" * 30_000)[1] == []
+
+
 # ---- 10 tokens
 
 
