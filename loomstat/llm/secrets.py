@@ -10,6 +10,12 @@ the size of the character class). A value of `least_log10` (10) or more is
 added as kind `guess`, unless a base span overlaps it; base spans stay
 whatever they cost. Offsets are in code points, ends excluded.
 
+The words are common ones of passwords and then `words.txt`: the 38,132 words
+and word parts of three or more ASCII letters in the vocabulary of the public
+tokenizer `word_bpe_49k.json`, in its order (of merges, so about by
+frequency), without repeats of one letter. Rarer words are cut into parts;
+words of other languages are mostly costed by their characters.
+
 Null text counts as empty. Every text is scanned whole, and a value is taken
 and costed to its end, however long it is.
 """
@@ -17,6 +23,7 @@ and costed to its end, however long it is.
 from __future__ import annotations
 
 import hashlib
+import importlib.resources
 import math
 import re
 
@@ -37,7 +44,9 @@ secret changeme default guest root user test temp example sample demo pass word
 null true false your here insert replace placeholder dummy foobar foo bar baz system server database backup manager
 service account private public company office money love god angel baby cookie ginger pepper hunter killer soccer
 hockey tiger jordan charlie daniel thomas robert jessica jennifer ashley amanda andrew joshua george""".split()
-RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
+COMMON = importlib.resources.files(__package__).joinpath("words.txt").read_text().split()
+RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *COMMON]))}
+LONGEST = max(map(len, RANK))
 #: Characters that stand for letters.
 LOOKALIKE = str.maketrans("@4301$57!", "aaeoissti")
 #: Rows of the keyboard.
@@ -101,9 +110,8 @@ def guess_cost(value: str) -> float:
     n, low = len(value), value.lower()
     plain = low.translate(LOOKALIKE)
     spans: dict[int, list[tuple[int, float]]] = {}
-    longest = max(map(len, RANK))
     for i in range(n):
-        for j in range(i + 3, min(n, i + longest) + 1):
+        for j in range(i + 3, min(n, i + LONGEST) + 1):
             for text, extra in ((low, 0.0), (plain, math.log10(4))):
                 if rank := RANK.get(text[i:j]):
                     capitals = sum(c.isupper() for c in value[i:j])

@@ -481,6 +481,13 @@ def test_long_secrets(spark):
     assert secrets.scan_text("pwd: " + "z" * 30_000)[1] == []
 
 
+def test_plain_prose():
+    prose = ["Your password is required.", "the secret is patience", "token: identifier", "The password is incorrect, please try again", "the token is authenticated and the API key is generated", "credentials: username and hostname", "Secret: ingredients of the kitchen", "access key: described below", "the secret is kindness; the token is symbolic", "passphrase is necessary", "pwd: documentation", "token is available"]
+    assert [t for t in prose if secrets.scan_text(t)[1]] == []
+    strong = ["qzvkxjwbtr", "xK9$mQ2vLp0w", "Tr0ub4dor&3zQ!v", "jH7!pW2#nB5%", "zqxwvkjhgpbt"]
+    assert all(secrets.scan_text(f"pwd = {v} end")[1] for v in strong)
+
+
 # ---- 10 tokens
 
 
