@@ -55,8 +55,9 @@ def bits_for(vocabulary: int) -> int:
 class ChunkEncoder:
     """Encodes texts by their distinct white-space chunks, each of which passes the tokenizer once.
 
-    Right for tokenizers that normalise and split within white space and drop it, and ignore the case of ASCII letters:
-    `word_bpe_49k.json` does (NFC, lower case, no token spans white space). Texts that hold `<|` keep their case, for special tokens.
+    Right for tokenizers that normalise and split within white space and drop it, and ignore the case of ASCII chunks:
+    `word_bpe_49k.json` does (NFC, lower case, no token spans white space). Chunks with other characters are passed as they are, since
+    composing comes before lower case. Texts that hold `<|` keep their case, for special tokens.
     At most `capacity` chunks are remembered.
     """
 
@@ -105,7 +106,12 @@ class ChunkEncoder:
         counts = []
         for t in texts:
             raw = (t or "").encode()
-            own = (raw if b"<|" in raw else raw.lower()).split()
+            if b"<|" in raw:
+                own = raw.split()
+            elif raw.isascii():
+                own = raw.lower().split()
+            else:
+                own = [c.lower() if c.isascii() else c for c in raw.split()]
             counts.append(len(own))
             chunks += own
         at = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))

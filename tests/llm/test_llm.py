@@ -523,6 +523,12 @@ def test_tokens_edges(spark, odd, none, tmp_path):
     assert [small.encode([t], 1)[0].tolist() for t in texts] == [[*small.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
 
 
+def test_tokens_decomposed():
+    enc = token_bin.ChunkEncoder(queries.tokenizer_path())
+    texts = ["T\u0308", "xT\u0308y H\u0331 W\u030a Y\u030a", "J\u030c AND J\u030cIl", "PLAIN Caps", "E\u0301T\u00c9 A\u030a \u0130", " \u0308T a"]
+    assert [enc.encode([t], 1)[0].tolist() for t in texts] == [[*enc.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17, 32])
 def test_bits(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 999, np.uint64).astype(np.uint32)
