@@ -1,8 +1,8 @@
 """Language identification by prediction by partial matching (PPM) over bytes.
 
 For each language a context tree of variable order (0 to `order` bytes) is
-trained on a bounded, documented sample: at most `per_lang` labelled texts of
-at most `max_chars` characters a language, chosen by a hash of their id, and
+trained on a bounded, documented sample: the first `max_chars` characters of
+at most `per_lang` labelled texts a language, chosen by a hash of their id, and
 the 200 most frequent languages. Statistics are then frozen: in a context
 that has seen n bytes, d of them distinct, byte x costs -log2(count / (n+d))
 if seen, else the escape d / (n+d) times its probability in the next shorter
@@ -149,7 +149,7 @@ class PpmModel:
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", per_lang: int = 400, max_chars: int = 8000, order: int = 3, max_langs: int = 200) -> PpmModel:
-    """Train on the rows of docs that have a lang: a bounded sample of whole texts."""
+    """Train on the rows of docs that have a lang: a bounded sample, long texts by their beginnings."""
     usable = docs.where(F.col("lang").isNotNull() & F.col(text_col).isNotNull())
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     texts: dict[str, list[bytes]] = {}
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", per_lang: int = 400, max_cha
     for r in counts:
         share = F.when(F.col("lang") == r["lang"], min(1 << 30, 4 * per_lang * (1 << 30) // r["count"])).otherwise(share)
     if counts:
-        rows = usable.where((place < share) & (F.length(text_col) <= max_chars)).select("lang", F.col(text_col).alias("t"), place.alias("p"), "doc_id")
+        rows = usable.where(place < share).select("lang", F.substring(text_col, 1, max_chars).alias("t"), place.alias("p"), "doc_id")
         for r in rows.orderBy("p", "doc_id").limit(4 * per_lang * len(counts)).toLocalIterator():
             own = texts.setdefault(r["lang"], [])
             if len(own) < per_lang:

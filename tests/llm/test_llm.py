@@ -404,6 +404,14 @@ def test_language_edges(spark, odd, none):
     assert {r["lang_pred"] for r in rows(langid.predict(langid.fit(none), odd))} == {"und"} and langid.predict(model, none).count() == 0
 
 
+def test_language_long_texts(spark):
+    long = [(1, "дом и мир " * 2000, "ru"), (2, "the house and the world", "en"), (3, "дом и мир", None)]
+    df = spark.createDataFrame(long, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.langs == ["en", "ru"]
+    assert {r["doc_id"]: r["lang_pred"] for r in rows(langid.predict(model, df))} == {1: "ru", 2: "en", 3: "ru"}
+
+
 # ---- 8 sharding
 
 
