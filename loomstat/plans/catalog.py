@@ -283,8 +283,8 @@ _add("fc_window_builder", _events, lambda df: T.window_arrays(df, ["value"], "ts
 
 # ---- series and tuning
 _add("prep_gap_chunks", _events, lambda df: T.gap_chunks(df, "ts", 86400.0, ["user_id"]).select("event_id", "chunk_id"), f"{E_SQL}, g AS (SELECT event_id, user_id, ts, CAST(coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) > 86400000000, false) AS INTEGER) AS g FROM b) SELECT event_id, sum(g) OVER (PARTITION BY user_id ORDER BY ts)::BIGINT AS chunk_id FROM g")
-_holes = lambda s, d: _events(s, d).withColumn("value", F.when(F.col("event_id") % 3 == 0, F.lit(0.0)).otherwise(F.col("value")))
-_add("prep_impute_linear", _holes, lambda df: T.impute_linear(df, ["value"], "ts", ["user_id"]).select("event_id", "value"), f"{E_SQL}, h AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS v FROM b), n AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY user_id ORDER BY i) AS a, min(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY user_id ORDER BY i DESC) AS z FROM h) SELECT n.event_id, round(coalesce(p.v + (q.v - p.v) * (n.i - n.a) / nullif(n.z - n.a, 0), p.v, q.v, 0), 6) AS value FROM n LEFT JOIN h p ON p.user_id = n.user_id AND p.i = n.a LEFT JOIN h q ON q.user_id = n.user_id AND q.i = n.z")
+_holes = lambda s, d: _events(s, d).withColumn("value", F.when(F.col("event_id") % 3 != 0, F.col("value")))
+_add("prep_impute_linear", _holes, lambda df: T.impute_linear(df, ["value"], "ts", ["user_id"], zero_is_missing=False).select("event_id", "value"), f"{E_SQL}, h AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS v FROM b), n AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY user_id ORDER BY i) AS a, min(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY user_id ORDER BY i DESC) AS z FROM h) SELECT n.event_id, round(coalesce(p.v + (q.v - p.v) * (n.i - n.a) / nullif(n.z - n.a, 0), p.v, q.v, 0), 6) AS value FROM n LEFT JOIN h p ON p.user_id = n.user_id AND p.i = n.a LEFT JOIN h q ON q.user_id = n.user_id AND q.i = n.z")
 _add("prep_double_ema", _events, lambda df: T.double_ema(df, ["value"], "ts", ["user_id"]).select("event_id", "value"))
 _add("prep_window_starts", _events, lambda df: T.window_starts(df, "ts", 10, ["user_id"]).select("event_id"), f"{E_SQL} SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS k FROM b) WHERE k >= 10")
 _add("prep_temporal_split", _events, lambda df: T.temporal_split(df, "ts", (0.7, 0.15), ["user_id"]).select("event_id", "split"), f"{E_SQL}, o AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM b) SELECT event_id, CASE WHEN i <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN i <= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM o")

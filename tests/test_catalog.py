@@ -11,6 +11,7 @@ from loomstat.operators import detection as D
 from loomstat.operators import evaluation as E
 from loomstat.operators import event_kernels as K
 from loomstat.operators import features as X
+from loomstat.operators import series as T
 from loomstat.plans import catalog
 
 
@@ -53,6 +54,15 @@ def test_hand_cases(spark):
     assert (r["tp"], r["fn"], r["segments"]) == (1, 0, 1)
 
 
+def test_impute(spark):
+    nan = float("nan")
+    rows = [(0, "a", 0.0), (1, "a", 2.0), (2, "a", None), (3, "a", 0.0), (4, "a", 8.0), (5, "a", nan), (0, "b", None), (1, "b", 0.0)]
+    df = spark.createDataFrame(rows, "i int, s string, x double")
+    got = lambda **k: [r["x"] for r in T.impute_linear(df, ["x"], "i", ["s"], **k).orderBy("s", "i").collect()]
+    assert got() == [2.0, 2.0, 4.0, 6.0, 8.0, 8.0, 0.0, 0.0]
+    assert got(zero_is_missing=False) == [0.0, 2.0, 1.0, 0.0, 8.0, 8.0, 0.0, 0.0]
+
+
 def test_event_kernels():
     y = np.array([0, 1, 1, 1, 0, 0, 0])
     assert K.affiliation(y, y) == pytest.approx((1, 1, 1))
