@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import event_kernels as E
+from . import ordered as O
 
 METRICS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -256,12 +257,12 @@ def self_evaluation(df, truth, pred=None, series=()):
 
 
 def _curve(df, truth, score, pos_label=1, series=()):
-    """For each distinct score, from high to low: positives and rows at or above it."""
+    """For each distinct score: positives and rows at it (dp, dn), at or above it (tp, rows), in all, and its place from the top."""
     pos = (F.col(truth) == pos_label).cast("long")
-    at = df.groupBy(*series, F.col(score).alias("s")).agg(F.sum(pos).alias("dp"), F.count(F.lit(1)).alias("dn"))
-    part = Window.partitionBy(*series)
-    run = part.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    return at.select(*series, "s", "dp", "dn", F.sum("dp").over(run).alias("tp"), F.sum("dn").over(run).alias("rows"), F.sum("dp").over(part).alias("all_pos"), F.sum("dn").over(part).alias("all_rows"))
+    at = df.groupBy(*series, F.col(score).alias("s")).agg(F.sum(pos).alias("dp"), F.count(F.lit(1)).alias("dn"), F.lit(1).cast("long").alias("d"))
+    at = O.running_sums(at, "s", ["dp", "dn", "d"], series, O.boundaries(df, score))
+    down = lambda c: F.col(f"{c}_all") - F.col(f"{c}_upto") + F.col(c)
+    return at.select(*series, "s", "dp", "dn", down("dp").alias("tp"), down("dn").alias("rows"), F.col("dp_all").alias("all_pos"), F.col("dn_all").alias("all_rows"), down("d").cast("int").alias("i"))
 
 
 @metric
@@ -277,21 +278,29 @@ def roc_auc_metric(df, truth, score, pos_label=1, series=()):
 def pr_auc_metric(df, truth, score, pos_label=1, series=()):
     """Trapezoids over recall, from precision 1 at recall 0."""
     c = _curve(df, truth, score, pos_label, series)
-    w = Window.partitionBy(*series).orderBy(F.desc("s"))
-    prec = F.col("tp") / F.col("rows")
-    c = c.withColumn("pr", prec).withColumn("before", F.coalesce(F.lag("pr").over(w), F.lit(1.0)))
-    return _by(c, series, F.coalesce(F.sum(F.col("dp") / F.col("all_pos") * (F.col("pr") + F.col("before")) / 2), F.lit(0.0)).alias("pr_auc"))
+    higher = F.col("rows") - F.col("dn")
+    before = F.when(higher == 0, 1.0).otherwise((F.col("tp") - F.col("dp")) / higher)  # the precision at the next higher score
+    return _by(c, series, F.coalesce(F.sum(F.col("dp") / F.col("all_pos") * (F.col("tp") / F.col("rows") + before) / 2), F.lit(0.0)).alias("pr_auc"))
 
 
 def _ranked(df, truth, score, key, pos_label, series):
-    w = Window.partitionBy(*series).orderBy(F.desc(score), *key)
-    pos = (F.col(truth) == pos_label).cast("long")
-    return df.select(*series, pos.alias("y"), F.row_number().over(w).alias("r"), F.sum(pos).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tp"))
+    """y, r (place from the top) and tp (positives so far). Equal scores go by key; one numeric key is cut in ranges, so that a hot score is, too."""
+    rows = df.select(*series, F.col(score).alias("s"), *key, (F.col(truth) == pos_label).cast("long").alias("y"))
+    at = _curve(rows.withColumn("__one", F.col("y")), "__one", "s", 1, series).select(*series, "s", (F.col("tp") - F.col("dp")).alias("tp_above"), (F.col("rows") - F.col("dn")).alias("above"))
+    tie = [*series, "s"]
+    if len(key) == 1 and dict(df.dtypes)[key[0]] in ("int", "bigint", "double", "float", "smallint", "tinyint"):
+        one = rows.groupBy(*tie, *key).agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("c"))
+        rows = O.running_sums(one, key[0], ["y", "c"], tie, O.boundaries(df, key[0])).select(*tie, "y", F.col("c_upto").alias("r"), F.col("y_upto").alias("tp"))
+    else:
+        w = Window.partitionBy(*tie).orderBy(*key) if key else Window.partitionBy(*tie).orderBy("y")
+        rows = rows.select(*tie, "y", F.row_number().over(w).alias("r"), F.sum("y").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tp"))
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in tie]
+    return rows.alias("a").join(at.alias("b"), on).select(*[F.col(f"a.{c}") for c in series], "y", (F.col("above") + F.col("r")).alias("r"), (F.col("tp_above") + F.col("tp")).alias("tp"))
 
 
 @metric
 def average_precision_metric(df, truth, score, key=(), pos_label=1, series=()):
-    return _by(_ranked(df, truth, score, key, pos_label, series), series, F.coalesce(F.avg(F.when(F.col("y") == 1, F.col("tp") / F.col("r"))), F.lit(0.0)).alias("average_precision"))
+    return _by(_ranked(df, truth, score, list(key), pos_label, series), series, F.coalesce(F.avg(F.when(F.col("y") == 1, F.col("tp") / F.col("r"))), F.lit(0.0)).alias("average_precision"))
 
 
 def _top(df, truth, score, key, k, pos_label):
@@ -315,8 +324,7 @@ def recall_at_k_metric(df, truth, score, key=(), k=10, pos_label=1):
 def binary_classification_curve(df, truth, score, positive_label=1, series=(), decimals=6, inf_threshold=True):
     """One row a threshold (distinct scores, from high to low, +inf last): counts for score > threshold and the ratios."""
     c = _curve(df, truth, score, positive_label, series)
-    w = Window.partitionBy(*series).orderBy(F.desc("s"))
-    c = c.withColumn("tp", F.col("tp") - F.col("dp")).withColumn("pred", F.col("rows") - F.col("dn")).withColumn("i", F.row_number().over(w))
+    c = c.withColumn("tp", F.col("tp") - F.col("dp")).withColumn("pred", F.col("rows") - F.col("dn"))
     c = c.select(*series, "i", F.col("s").cast("double").alias("threshold"), "tp", (F.col("pred") - F.col("tp")).alias("fp"), (F.col("all_rows") - F.col("all_pos") - F.col("pred") + F.col("tp")).alias("tn"), (F.col("all_pos") - F.col("tp")).alias("fn"))
     if inf_threshold:
         last = c.groupBy(*series).agg((F.max("i") + 1).alias("i"), F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), F.max(F.col("tn") + F.col("fp")).alias("tn"), F.max(F.col("fn") + F.col("tp")).alias("fn"))
@@ -415,8 +423,11 @@ def dtw_path_metric(df, truth, pred, order, series=(), window=None):
 
 @metric
 def confidence_metric(train, test, score, threshold, contamination=0.1):
-    """test with `confidence` of its label: a binomial tail at the smoothed rank among the training scores."""
-    counts = train.groupBy(F.col(score).alias("__t")).agg(F.count(F.lit(1)).alias("__c")).select("__t", F.sum("__c").over(Window.orderBy("__t")).alias("__le"))
+    """test with `confidence` of its label: a binomial tail at the smoothed rank among the training scores.
+
+    Ranks come from running sums over ranges of values; test rows look theirs up by value. A null score has a null confidence.
+    """
+    counts = train.select(F.col(score).cast("double").alias("__t")).where("__t is not null").groupBy("__t").agg(F.count(F.lit(1)).alias("c"))
     n = train.count()
     if not n:
         raise ValueError("no training scores")
@@ -424,13 +435,12 @@ def confidence_metric(train, test, score, threshold, contamination=0.1):
 
     @F.pandas_udf("double")
     def tail(p: pd.Series) -> pd.Series:
-        return pd.Series([1 - E.binomial_cdf(k, n, float(x)) for x in p])
+        return pd.Series(E.binomial_tail(k, n, p.to_numpy(float)))
 
-    both = test.select("*", F.lit(None).cast("long").alias("__le"), F.col(score).alias("__t")).unionByName(counts, allowMissingColumns=True)
-    upto = F.coalesce(F.max("__le").over(Window.orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    ranked = both.withColumn("__r", upto).where(F.col(score).isNotNull())
-    c = tail((1 + F.col("__r")) / F.lit(2.0 + n))
-    return ranked.withColumn("confidence", F.when(F.col(score) > threshold, 1 - c).otherwise(c)).drop("__le", "__t", "__r")
+    own = test.withColumn("__t", F.col(score).cast("double"))
+    at = O.ranks(counts, own.select("__t"), "__t").withColumn("__c", tail((1 + F.col("le")) / F.lit(2.0 + n))).select("__t", "__c")
+    c = F.col("__c")
+    return own.join(at, "__t", "left").withColumn("confidence", F.when(F.col(score) > threshold, 1 - c).otherwise(c)).select(*test.columns, "confidence")
 
 
 @metric

@@ -252,11 +252,38 @@ def dtw(a, b, window=None, path=False):
     return float(d[n, m]), steps
 
 
-def binomial_cdf(k: int, n: int, p: float) -> float:
-    if k >= n:
-        return 1.0
-    if p <= 0 or p >= 1:
-        return float(p <= 0)
-    i = np.arange(k + 1)
-    g = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
-    return float(min(1.0, np.exp(g[n] - g[i] - g[n - i] + i * math.log(p) + (n - i) * math.log1p(-p)).sum()))
+def binomial_tail(k: int, n: int, p: np.ndarray) -> np.ndarray:
+    """P(X > k) of binomial (n, p) for an array of p: the regularised incomplete beta function I_p(k + 1, n - k).
+
+    Its continued fraction is summed on the side of the mean where it converges, for all of p at once; values whose
+    leading factor is under 1e-20 are 0 or 1 without it.
+    """
+    p = np.clip(np.asarray(p, float), 0.0, 1.0)
+    if k < 0 or k >= n:
+        return np.full(p.shape, float(k < 0))
+    a, b = k + 1.0, float(n - k)
+    with np.errstate(divide="ignore"):
+        front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * np.log(p) + b * np.log1p(-p)
+    low = p < (a + 1) / (a + b + 2)
+    out = np.where(low, 0.0, 1.0)
+    on = np.flatnonzero(front > -46)
+    x = np.where(low, p, 1 - p)[on]
+    u, v = np.where(low, a, b)[on], np.where(low, b, a)[on]
+    tiny = 1e-300
+    c, d = np.ones(len(on)), 1 - (u + v) * x / (u + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    f, m, todo = d.copy(), 0, np.arange(len(on))
+    while len(todo):
+        m += 1
+        xs, us, vs = x[todo], u[todo], v[todo]
+        for coef in (m * (vs - m) * xs / ((us + 2 * m - 1) * (us + 2 * m)), -(us + m) * (us + vs + m) * xs / ((us + 2 * m) * (us + 2 * m + 1))):
+            d[todo] = 1 + coef * d[todo]
+            c[todo] = 1 + coef / c[todo]
+            d[todo] = 1 / np.where(np.abs(d[todo]) < tiny, tiny, d[todo])
+            c[todo] = np.where(np.abs(c[todo]) < tiny, tiny, c[todo])
+            step = c[todo] * d[todo]
+            f[todo] *= step
+        todo = todo[np.abs(step - 1) > 1e-15] if m < 200_000 else todo[:0]
+    part = np.exp(front[on]) * f / u
+    out[on] = np.where(low[on], part, 1 - part)
+    return np.clip(out, 0.0, 1.0)

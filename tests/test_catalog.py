@@ -70,4 +70,10 @@ def test_event_kernels():
     assert K.event_f1(np.array([0, 0, 1, 1, 1, 0, 0]), np.array([0, 1, 0, 0, 0, 1, 1]))[:3] == (0, 2, 1)
     assert K.dtw(np.array([1.0, 2, 3]), np.array([1.0, 2, 2, 3]), path=True)[0] == 0
     assert K.nab(np.array([]), np.array([])) == (0.0, 0.0)
-    assert K.binomial_cdf(3, 10, 0.3) == pytest.approx(0.6496107184)
+    for n, k in ((1, 0), (10, 3), (60, 54), (400, 360)):
+        p = np.concatenate((np.arange(1, n + 2) / (n + 2), [0.0, 1.0, 1e-9]))
+        want = [sum(math.comb(n, i) * x**i * (1 - x) ** (n - i) for i in range(k + 1, n + 1)) for x in p]
+        assert np.allclose(K.binomial_tail(k, n, p), want, rtol=1e-9, atol=1e-13)
+    assert K.binomial_tail(10, 10, np.array([0.3])).tolist() == [0.0]
+    big = K.binomial_tail(9_000_000, 10_000_000, np.array([0.8, 0.9, 0.95]))
+    assert big[0] == 0 and abs(big[1] - 0.5) < 1e-3 and big[2] == 1
