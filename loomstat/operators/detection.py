@@ -14,10 +14,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import detector_kernels as N
+from . import ordered as O
 from .linear import moments
 
 
@@ -260,7 +261,7 @@ class PercentileDecider(Operator):
         super().__init__(list(features), **config)
 
     def _fit(self, df):
-        return {"threshold": df.agg(F.percentile(self.features[0], self.config["percentile"] / 100)).first()[0]}
+        return {"threshold": O.exact_percentile(df, self.features[0], self.config["percentile"] / 100)}
 
     def _transform(self, df):
         return df.withColumn("label", (F.col(self.features[0]) > F.lit(self.state["threshold"])).cast("int"))
@@ -302,38 +303,26 @@ class PluginScorer(PluginPredictor):
 
 
 class _TailScorer(Operator):
-    """Empirical tail probabilities of each feature: ECDFs over all training rows, by window over distinct values."""
+    """Empirical tail probabilities of each feature, over all training rows; at least one row's share. A null has no tails and no score."""
 
     defaults = {"contamination": 0.1, "n_jobs": 1}
 
     def _fit(self, df):
-        n = df.count()
-        out = {}
-        r = df.agg(*[F.skewness(c).alias(f"k{i}") for i, c in enumerate(self.features)]).first()
-        for i, c in enumerate(self.features):
-            at = df.groupBy(_num(c).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-            w = Window.orderBy("v")
-            le = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-            out[c] = (at.select("v", (le / n).alias("left"), ((n - le + F.col("c")) / n).alias("right")), r[f"k{i}"] or 0.0)
-        return {"n": n, "tails": out}
-
-    def _transform(self, df):
-        # training values look up their tails; others take the nearest training value below (left) and above (right)
-        for c in self.features:
-            tails, _ = self.state["tails"][c]
-            t = tails.select(F.col("v").alias("__v"), F.col("left").alias("__l"), F.col("right").alias("__r"))
-            both = df.withColumn("__v", _num(c)).unionByName(t.select("__v", "__l", "__r"), allowMissingColumns=True) if "__l" in df.columns else df.withColumn("__v", _num(c)).withColumns({"__l": F.lit(None).cast("double"), "__r": F.lit(None).cast("double"), "__row": F.lit(1)}).unionByName(t, allowMissingColumns=True)
-            w = Window.orderBy("__v")
-            low = F.coalesce(F.last("__l", True).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.lit(1.0 / self.state["n"]))
-            high = F.coalesce(F.first("__r", True).over(w.rangeBetween(0, Window.unboundedFollowing)), F.lit(1.0 / self.state["n"]))
-            df = both.withColumns({f"__left_{c}": -F.log(low), f"__right_{c}": -F.log(high)}).where("__row = 1").drop("__v", "__l", "__r", "__row")
-        return df
+        r = df.agg(F.count(F.lit(1)).alias("n"), *[F.skewness(c).alias(f"k{i}") for i, c in enumerate(self.features)]).first()
+        counts = {c: df.select(_num(c).alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("c")) for c in self.features}
+        return {"n": r["n"], "tails": {c: (counts[c], r[f"k{i}"] or 0.0) for i, c in enumerate(self.features)}}
 
     def _parts(self, df):
-        df = _TailScorer._transform(self, df)
+        """df with the tails of every feature; ranks are computed for distinct values and joined by value."""
+        n, out = self.state["n"], df
+        for c, (counts, _) in self.state["tails"].items():
+            at = O.ranks(counts, df.select(_num(c).alias("v")), "v")
+            tail = lambda x: -F.log(F.greatest(x / n, F.lit(1.0 / max(n, 1))))
+            at = at.select(F.col("v").alias("__v"), tail(F.col("le")).alias(f"__left_{c}"), tail(n - F.col("lt")).alias(f"__right_{c}"))
+            out = out.withColumn("__v", _num(c)).join(at, "__v", "left").drop("__v")
         left, right = ([F.col(f"__{s}_{c}") for c in self.features] for s in ("left", "right"))
         skew = [l if self.state["tails"][c][1] < 0 else r for c, l, r in zip(self.features, left, right, strict=True)]  # noqa: E741
-        return df, left, right, skew
+        return out, left, right, skew
 
 
 class EcodScorer(_TailScorer):
