@@ -63,8 +63,13 @@ def _num(c: str) -> Column:
 
 
 class MeanPredictor(Operator):
+    """Each feature's mean, corrected by the mean of what is left, since a long sum of doubles loses digits."""
+
     def _fit(self, df):
-        return {c: df_row for c, df_row in df.agg(*[F.avg(c).alias(c) for c in self.features]).first().asDict().items()}
+        first = df.agg(*[F.avg(_num(c)).alias(c) for c in self.features]).first()
+        known = [c for c in self.features if first[c] is not None]
+        rest = df.agg(F.lit(0), *[F.avg(_num(c) - F.lit(first[c])).alias(c) for c in known]).first()
+        return {c: first[c] + rest[c] if c in known else None for c in self.features}
 
     def _transform(self, df):
         return df.withColumns({c: F.lit(self.state[c]).cast("double") for c in self.features})
@@ -145,14 +150,14 @@ def _weights(n: int, weights) -> list[float]:
 
 def mean_merge(df: DataFrame, scores: list[str], method: str = "arithmetic", weights=None, posterior: bool = False) -> DataFrame:
     """Weighted mean of score columns; posterior adds each column's share of it."""
-    w = _weights(len(scores), weights)
+    w = [1.0] * len(scores) if weights is None else [float(x) for x in weights]
     part = {"arithmetic": lambda x, a: a * x, "geometric": lambda x, a: a * F.log(x), "harmonic": lambda x, a: a / x, "quadratic": lambda x, a: a * x * x}[method]
     parts = [part(_num(c), F.lit(a)) for c, a in zip(scores, w, strict=True)]
-    total = sum(parts[1:], parts[0])
+    total = sum(parts[1:], parts[0]) / sum(w)
     out = {"arithmetic": total, "geometric": F.exp(total), "harmonic": 1 / total, "quadratic": F.sqrt(total)}[method]
     new = {"score": out}
     if posterior:
-        new |= {f"{c}_weight": F.when(total == 0, 0.0).otherwise(p / total) for c, p in zip(scores, parts, strict=True)}
+        new |= {f"{c}_weight": F.when(total == 0, 0.0).otherwise(p / sum(w) / total) for c, p in zip(scores, parts, strict=True)}
     return df.withColumns(new)
 
 

@@ -28,8 +28,14 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _half_away(x, places: int):
+    """The double nearest to x's multiple of 10**-places; halves of the scaled double go away from zero, as DuckDB's round has it."""
+    t = F.abs(x) * 10.0**places
+    return F.signum(x) * F.when(t < 2.0**52, F.floor(t + 0.5).cast("double")).otherwise(t) / 10.0**places
+
+
 def _round(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*[F.round(F.col(c), places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[_half_away(F.col(c), places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _add(name: str, base: Callable[[SparkSession, str], DataFrame], f: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
