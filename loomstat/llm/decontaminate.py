@@ -1,16 +1,29 @@
 """Benchmark decontamination by winnowing.
 
 Words are runs of digits, lower-cased ASCII letters and non-ASCII characters.
-A window is `length` (10) words; with k-grams of `gram` (5) words, the minimum
-k-gram hash inside a window is its fingerprint: a shared window has the same
-fingerprint on both sides, so joining fingerprints misses no shared span of
-`length` words. Hits are extended over all windows around the fingerprint and
-confirmed on the words themselves. Items of fewer words are windows of their
-own length, by the same path.
-
-The benchmark side is broadcast only while it has at most `broadcast_rows`
-rows; beyond that it is a shuffle join. Null and empty texts have no words.
-Rows with the same doc_id and text have the same result; null ids are kept.
+A window is `length` (10) words; the minimum hash among its `gram`-word
+(5-word) runs is its fingerprint: a shared window has the same fingerprint on
+both sides, so joining fingerprints misses no shared span of `length` words.
+Items of fewer words are windows of their own length, by the same path (below
+`gram` words the whole window is the one run). Two passes:
+
+1. Each document gives its number of words and its distinct fingerprints,
+   which are joined with those of the benchmark.
+2. Documents with a common fingerprint are read again; at the places where
+   one lies, hits are extended to windows and confirmed on the words.
+
+Rows of the joins are fingerprints and windows and carry no text. The
+benchmark's fingerprints and windows, and the keys of documents with a common
+fingerprint, are broadcast only up to `broadcast_rows` rows; beyond that the
+joins shuffle. A window that many items share is joined with the set of its
+items, not with each of them.
+
+Null and empty texts have no words and are clean; null item texts give no
+window. A null item_id counts for n_hit and contaminated, not for n_items.
+Rows with one doc_id and different texts are documents of their own; rows
+equal in both share one result; null ids are kept. Columns of the same names
+as the result's, and other columns, are ignored here and kept as they are by
+`drop_contaminated`. An empty benchmark contaminates nothing.
 """
 
 from __future__ import annotations
@@ -18,34 +31,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, materialize
+from .common import UPPER, let, materialize
 
-SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between words; capitals are letters still to be lower-cased.
+SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+#: Words of a text that are worked on at once.
+PIECE = 1 << 13
+
+
+def _lower(c: Column) -> Column:
+    """A-Z lower-cased; `lower` does so for ASCII strings, faster than translate."""
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
 def bench_words(text: Column) -> Column:
-    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SPLIT), "")
+    return F.transform(F.array_remove(F.split(F.coalesce(text, F.lit("")), SPLIT), ""), _lower)
+
+
+def _run_from(have: Column, more: Column, words: int, skip: int) -> Column:
+    """Hashes of runs: have[i], shifted by `words` bits, xor more[i + skip]; null where there is none."""
+    return F.zip_with(have, F.slice(more, skip + 1, F.greatest(F.size(more) - skip, F.lit(0))), lambda a, b: F.shiftleft(a, words).bitwiseXOR(b))
+
+
+def _least_from(have: Column, skip: int) -> Column:
+    return F.zip_with(have, F.slice(have, skip + 1, F.greatest(F.size(have) - skip, F.lit(0))), lambda a, b: F.least(a, b))
+
 
+def fingerprints(hashes: Column, length: int, gram: int, then) -> Column:
+    """then(x), x[i] being the fingerprint of the window of `length` words that starts at word i: the least hash of its runs.
 
-def _windows(words: Column, lengths: list[int], gram: int) -> Column:
-    """Runs of consecutive windows with one fingerprint: array of (length, fp, start, n)."""
+    Hashes of runs and their minima are built from those of half the length. Places near the end, where no window fits, are cut off at last.
+    """
+    k = min(gram, length)
+    width = length - k + 1
 
-    def of_length(words: Column, hashed: Column, length: int) -> Column:
-        k = min(gram, length)
-        w = length - k + 1
-        n = F.size(hashed)
-        grams = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.lit(length), F.slice(hashed, i, F.lit(k)))) if k > 1 else hashed
+    def chain(have: Column, n: int) -> Column:
+        if n == k:
+            return least(have, 1)
+        if 2 * n <= k:
+            return let(_run_from(have, have, n, n), lambda x: chain(x, 2 * n))
+        return let(_run_from(have, hashes, 1, n), lambda x: chain(x, n + 1))
 
-        def runs(mins: Column) -> Column:
-            starts = F.filter(F.transform(mins, lambda m, i: F.when((i == 0) | (F.get(mins, i - 1) != m), i)), lambda i: i.isNotNull())
-            return let(starts, lambda s: F.transform(s, lambda i, j: F.struct(F.lit(length).alias("length"), F.get(mins, i).alias("fp"), i.alias("start"), (F.coalesce(F.get(s, j + 1), F.size(mins)) - i).alias("n"))))
+    def least(have: Column, n: int) -> Column:
+        if n == width:
+            return then(F.slice(have, 1, F.greatest(F.size(hashes) - length + 1, F.lit(0))))
+        step = min(n, width - n)
+        return let(_least_from(have, step), lambda x: least(x, n + step))
 
-        mins = (lambda g: F.transform(F.sequence(F.lit(1), n - length + 1), lambda i: F.array_min(F.slice(g, i, F.lit(w))))) if w > 1 else (lambda g: g)
-        empty = F.array().cast("array<struct<length:int,fp:bigint,start:int,n:int>>")
-        return F.when(n >= length, let(grams, lambda g: let(mins(g), runs))).otherwise(empty)
+    return chain(hashes, 1)
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.concat(*[of_length(words, h, n) for n in lengths]))
+
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def prints_of(words: Column, length: int, gram: int, then) -> Column:
+    return let(word_hashes(words), lambda h: fingerprints(h, length, gram, then))
+
+
+def pieces(array: Column, overlap: int) -> Column:
+    """Array of (base, part): runs of PIECE elements and the `overlap` after them, so that long texts are worked on in bounded rows."""
+    last = F.greatest(F.ceil((F.size(array) - overlap) / PIECE), F.lit(1)).cast("int") - 1
+    return F.transform(F.sequence(F.lit(0), last), lambda c: F.struct((c * PIECE).alias("base"), F.slice(array, c * PIECE + 1, F.lit(PIECE + overlap)).alias("part")))
 
 
 def item_windows(items: DataFrame, length: int, text_col: str = "text") -> DataFrame:
@@ -55,52 +103,87 @@ def item_windows(items: DataFrame, length: int, text_col: str = "text") -> DataF
     return words.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(n - length + 1, F.lit(1))), lambda i: F.slice("__w", i, F.lit(length)))).alias("__window")).distinct()
 
 
-def find_hits(docs: DataFrame, items: DataFrame, *, text_col: str = "text", length: int = 10, gram: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
-    """Occurrences: doc_id, __th (hash of the text), start, length, window key; and the table of windows' items beside it."""
-    windows = materialize(item_windows(items, length), "windows").withColumn("__key", F.concat_ws(" ", "__window"))
-    lengths = sorted(r[0] for r in windows.select(F.size("__window")).distinct().collect())  # at most `length` values
-    if not lengths:
-        return docs.select("doc_id", F.xxhash64(text_col).alias("__th"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("__key")).where("false"), windows
-    distinct = windows.select("__key", "__window").distinct()
-    print_of = F.element_at(let(F.col("__window"), lambda w: F.filter(F.concat(*[_windows(w, [n], gram) for n in lengths]), lambda r: r["length"] == F.size(w))), 1)
-    distinct = materialize(distinct.select("__key", F.size("__window").alias("__len"), print_of["fp"].alias("__fp")), "fingerprints")
-    small = distinct.count() <= broadcast_rows
-    hint = F.broadcast if small else (lambda df: df)
-    runs = docs.select("doc_id", F.xxhash64(text_col).alias("__th"), bench_words(F.col(text_col)).alias("__w")).where(F.size("__w") >= lengths[0])
-    runs = runs.select("doc_id", "__th", "__w", F.explode(_windows(F.col("__w"), lengths, gram)).alias("__r"))
-    runs = runs.select("doc_id", "__th", "__w", F.col("__r.length").alias("length"), F.col("__r.fp").alias("__fp"), F.col("__r.start").alias("__s"), F.col("__r.n").alias("__n"))
-    prints = distinct.select(F.col("__fp"), F.col("__len").alias("length")).distinct()
-    hit = runs.join(hint(prints), ["__fp", "length"])
-    hit = hit.select("doc_id", "__th", "length", "__fp", F.explode(F.transform(F.sequence(F.lit(0), F.col("__n") - 1), lambda j: F.struct((F.col("__s") + j).alias("start"), F.concat_ws(" ", F.slice("__w", F.col("__s") + j + 1, F.col("length"))).alias("key")))).alias("__o"))
-    hit = hit.select("doc_id", "__th", "length", F.col("__o.start").alias("start"), F.col("__o.key").alias("__key"))
-    keys = distinct.select("__key", F.col("__len").alias("length"))
-    return hit.join(hint(keys), ["__key", "length"]), windows
+class Benchmark:
+    """Tables of the benchmark's windows: windows (__key, __len, __fp, __set), sets (__set, __items), lengths; small ones are broadcast."""
+
+    def __init__(self, items: DataFrame, length: int, gram: int, broadcast_rows: int):
+        # by key: how many windows, not how many items share one
+        own = item_windows(items, length).select("item_id", F.concat_ws(" ", "__window").alias("__key"), F.size("__window").alias("__len"))
+        own = own.groupBy("__key", "__len").agg(F.array_sort(F.collect_set("item_id")).alias("__items"))
+        own = materialize(own.withColumn("__set", F.xxhash64(F.concat_ws(",", "__items"))), "windows")
+        self.lengths = sorted(r[0] for r in own.select("__len").distinct().collect())  # at most `length` values
+        self.sets = own.select("__set", "__items").dropDuplicates(["__set"])
+        fp = F.lit(None).cast("long")
+        for n in self.lengths:
+            fp = F.when(F.col("__len") == n, prints_of(F.split("__key", " "), n, gram, lambda x: F.element_at(x, 1))).otherwise(fp)
+        self.windows = materialize(own.select("__key", "__len", fp.alias("__fp"), "__set"), "fingerprints") if self.lengths else own
+        self.small = self.windows.count() <= broadcast_rows
+        self.gram = gram
+
+    def hint(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.small else df
+
+
+def common_prints(docs: DataFrame, bench: Benchmark, text_col: str) -> DataFrame:
+    """doc_id, __th, n_words, __copies (rows that are equal in both) and __fps: the distinct fingerprints that the document shares with the benchmark."""
+    own = docs.select("doc_id", F.xxhash64(text_col).alias("__th"), word_hashes(bench_words(F.col(text_col))).alias("__h"))
+    if not bench.lengths:
+        return own.select("doc_id", "__th", F.size("__h").cast("long").alias("n_words"), F.lit(1).cast("long").alias("__copies"), F.array().cast("array<bigint>").alias("__fps"))
+    own = own.select("doc_id", "__th", F.size("__h").cast("long").alias("n_words"), F.inline(pieces(F.col("__h"), max(bench.lengths) - 1)))
+    itself = F.when(F.col("base") == 0, F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<bigint>"))  # a null for the document
+    some = F.concat(itself, *[fingerprints(F.col("part"), n, bench.gram, lambda x: F.array_distinct(x)) for n in bench.lengths])
+    each = own.select("doc_id", "__th", "n_words", F.explode(some).alias("__f"))
+    asked = bench.windows.select("__fp").distinct()
+    met = each.join(bench.hint(asked), F.col("__f") == F.col("__fp"), "left").where("__f is null or __fp is not null")
+    return materialize(met.groupBy("doc_id", "__th").agg(F.max("n_words").alias("n_words"), F.sum(F.col("__f").isNull().cast("long")).alias("__copies"), F.collect_set("__fp").alias("__fps")), "doc-prints")
+
+
+def find_hits(docs: DataFrame, shared: DataFrame, bench: Benchmark, text_col: str, broadcast_rows: int) -> DataFrame:
+    """Occurrences of the benchmark's windows: doc_id, __th, start, length, __set."""
+    shared = shared.where(F.size("__fps") > 0).select("doc_id", "__th", "__fps")
+    few = shared.select("__th").distinct()
+    keyed = docs.select("doc_id", F.xxhash64(text_col).alias("__th"), F.col(text_col).alias("__t"))
+    keyed = keyed.join(F.broadcast(few) if few.count() <= broadcast_rows else few, "__th", "left_semi")
+    keyed = keyed.alias("d").join(shared.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.__th") == F.col("s.__th"))).select("d.doc_id", "d.__th", bench_words(F.col("__t")).alias("__w"), "__fps")
+    keyed = keyed.select("doc_id", "__th", "__fps", F.inline(pieces(F.col("__w"), max(bench.lengths) - 1)))
+
+    def places(n: int) -> Column:
+        """Windows of n words whose fingerprint is shared: (length, start, key)."""
+        among = lambda x: let(F.array_intersect(F.col("__fps"), x), lambda own: F.filter(F.transform(x, lambda f, i: F.when(F.array_contains(own, f), i)), lambda i: i.isNotNull()))
+        at = prints_of(F.col("part"), n, bench.gram, lambda x: let(x, among))
+        return F.transform(at, lambda i: F.struct(F.lit(n).alias("length"), (F.col("base") + i).alias("start"), F.concat_ws(" ", F.slice("part", i + 1, F.lit(n))).alias("__key")))
+
+    hits = keyed.select("doc_id", "__th", F.inline(F.concat(*[places(n) for n in bench.lengths])))
+    known = bench.windows.select("__key", F.col("__len").alias("length"), "__set")
+    return hits.join(bench.hint(known), ["__key", "length"]).select("doc_id", "__th", "start", "length", "__set").distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", length: int = 10, gram: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and __th for joining back."""
-    hits, windows = find_hits(docs, items, text_col=text_col, length=length, gram=gram, broadcast_rows=broadcast_rows)
-    hits = materialize(hits.select("doc_id", "__th", "start", "length", "__key").distinct(), "hits")
+    bench = Benchmark(items, length, gram, broadcast_rows)
+    base = common_prints(docs, bench, text_col)
+    none = F.array().cast("array<string>")
+    one_each = lambda df: df.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    report = lambda df, ids, hit: one_each(df).select(
+        "doc_id", "n_words", F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"), hit.isNotNull().alias("contaminated"), "__th",
+    )
+    if not bench.lengths:
+        return report(base, none, F.lit(None).cast("long"))
+    hits = materialize(find_hits(docs, base, bench, text_col, broadcast_rows), "hits")
     by_doc = Window.partitionBy("doc_id", "__th").orderBy("start", "length")
     end = F.col("start") + F.col("length")
     seen = F.coalesce(F.max(end).over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    covered = hits.withColumn("__new", F.greatest(end - F.greatest("start", seen), F.lit(0))).groupBy("doc_id", "__th").agg(F.sum("__new").alias("n_hit"))
-    owners = windows.select("item_id", "__key")
-    named = hits.select("doc_id", "__th", "__key").distinct().join(owners, "__key").select("doc_id", "__th", "item_id").distinct()
-    named = named.groupBy("doc_id", "__th").agg(F.array_sort(F.collect_list("item_id")).alias("__ids"))
-    found = covered.alias("c").join(named.alias("n"), F.col("c.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("c.__th") == F.col("n.__th"))).select("c.doc_id", "c.__th", "n_hit", "__ids")
-    found = found.withColumnsRenamed({"doc_id": "__id", "__th": "__fth"})
-    base = docs.select("doc_id", F.xxhash64(text_col).alias("__th"), F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"))
+    covered = hits.withColumn("__new", F.greatest(end - F.greatest("start", seen), F.lit(0))).groupBy("doc_id", "__th").agg(F.sum("__new").alias("n_hit"), F.collect_set("__set").alias("__sets"))
+    named = covered.select("doc_id", "__th", "n_hit", F.explode("__sets").alias("__set")).join(bench.hint(bench.sets), "__set")
+    named = named.groupBy("doc_id", "__th").agg(F.first("n_hit").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__ids"))
+    found = named.withColumnsRenamed({"doc_id": "__id", "__th": "__fth"})
     out = base.join(found, base["doc_id"].eqNullSafe(found["__id"]) & (base["__th"] == found["__fth"]), "left")
-    ids = F.coalesce(F.col("__ids"), F.array().cast("array<string>"))
-    return out.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), "__th",
-    )
+    return report(out, F.coalesce(F.col("__ids"), none), F.col("n_hit"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without the documents that hold a benchmark window; columns as they are."""
     bad = decontaminate(docs, items, **options).where("contaminated").select(F.col("doc_id").alias("__id"), "__th").distinct()
-    keyed = docs.withColumn("__dh", F.xxhash64("text"))
+    keyed = docs.withColumn("__dh", F.xxhash64(options.get("text_col", "text")))
     return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["__id"]) & (keyed["__dh"] == bad["__th"]), "left_anti").select(*docs.columns)
