@@ -26,11 +26,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def _power(base: np.uint64, n: int, key: str) -> np.ndarray:
     have = _powers.get(key)
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = max(BLOCK, 1 << (n - 1).bit_length())
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if size <= 1 << 22:
+        if size <= BLOCK:
             _powers[key] = have
     return have[:n]
 
@@ -49,30 +49,48 @@ def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+def word_bounds(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs between white space and text edges."""
+    word = ~_SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[edges] = True
+    before, after = np.empty_like(word), np.empty_like(word)
+    before[:1], before[1:] = False, word[:-1]
+    after[-1:], after[:-1] = False, word[1:]
+    return np.flatnonzero(word & (~before | edge[:-1])), np.flatnonzero(word & (~after | edge[1:])) + 1
+
+
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, and each text's first word (n+1 entries)."""
     if len(data) == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
     low = _LOWER[data]
-    word = ~_SPACE[low]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offs] = True
-    before = np.empty(len(data), bool)
-    before[0] = False
-    before[1:] = word[:-1]
-    start = np.flatnonzero(word & (~before | edge[:-1]))
-    after = np.empty(len(data), bool)
-    after[-1] = False
-    after[:-1] = word[1:]
-    end = np.flatnonzero(word & (~after | edge[1:])) + 1
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _power(_R, len(data), "r"), out=sums[1:])
-    h = (sums[end] - sums[start]) * _power(_RI, len(data), "ri")[start]
-    return mix64(h ^ (end - start).astype(np.uint64)), np.searchsorted(start, offs)
-
-
-def slices(col: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    start, end = word_bounds(low, offs)
+    return span_hashes(low, start, end), np.searchsorted(start, offs)
+
+
+#: Bytes that are hashed at once: the arrays beside them take about 30 bytes for each.
+BLOCK = 1 << 17
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans (ascending, disjoint) of data: polynomials in _R, from running sums over blocks of whole spans."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK, "right")))
+        lo, hi = int(start[i]), int(end[j - 1])
+        part = data[lo:hi]
+        sums = np.empty(len(part) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _power(_R, len(part), "r"), out=sums[1:])
+        a, b = start[i:j] - lo, end[i:j] - lo
+        out[i:j] = mix64(((sums[b] - sums[a]) * _power(_RI, len(part), "ri")[a]) ^ (b - a).astype(np.uint64))
+        i = j
+    return out
+
+
+def slices(col: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs (from, to, bytes, offsets) of whole texts, of about `most` bytes each; a longer text is a run of its own."""
     data, offs = string_buffers(col)
     i, n = 0, len(offs) - 1

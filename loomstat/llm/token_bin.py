@@ -16,17 +16,18 @@ lies. Null text counts as empty. Each document ends with `end_id`.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .common import scratch_path
 
 BLOCKS = "shard int, block long, first long, doc_ids array<bigint>, ends array<int>, bits int, n_ids int, payload binary"
@@ -52,91 +53,150 @@ def bits_for(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
+#: Latin letters, to U+024F, and punctuation after them; an apostrophe may belong to what follows.
+_PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u024f]+)([.,;:!?)\]}\"]{0,4})")
+
+#: The byte-level alphabet: visible bytes stand for themselves, the others for the characters from 256 on.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SEEN)}
+
+
+class _Known:
+    """Ids of chunks by the hash of their bytes."""
+
+    def __init__(self):
+        self.place: dict[int, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def add(self, keys: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
+        n, m, at = len(self.place), len(self.place) + len(keys), self.used
+        while len(self.flat) < at + len(ids):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.start) < m:
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[at : at + len(ids)] = ids
+        self.size[n:m] = sizes
+        self.start[n:m] = at + np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(keys) else 0
+        self.used = at + len(ids)
+        self.place.update(zip(keys, range(n, m), strict=True))
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of each span, one after the other."""
+    upto = np.concatenate(([0], np.cumsum(size)))
+    return flat[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
+
+
 class ChunkEncoder:
-    """Encodes texts by their distinct white-space chunks, each of which passes the tokenizer once.
+    """Encodes texts by their distinct white-space chunks, which pass the tokenizer together, once a slice.
 
     Right for tokenizers that normalise and split within white space and drop it, and ignore the case of ASCII chunks:
     `word_bpe_49k.json` does (NFC, lower case, no token spans white space). Chunks with other characters are passed as they are, since
     composing comes before lower case. Texts that hold `<|` keep their case, for special tokens.
-    At most `capacity` chunks are remembered.
+
+    Chunks of a slice are told apart by 64-bit hashes of their bytes, computed for all of them at once; a chunk longer than
+    `LONGEST` bytes takes no part in that and is encoded where it stands. The ids of `capacity` chunks and of those before
+    them are remembered; what is asked for again stays.
     """
 
-    def __init__(self, path: str, capacity: int = 1 << 20):
+    LONGEST = 256
+
+    def __init__(self, path: str, capacity: int = 1 << 18):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.capacity = Tokenizer.from_file(path), capacity
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self._clear()
-
-    def _clear(self):
-        self.known: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _learn(self, chunks: list[bytes]):
-        if len(self.known) + len(chunks) > self.capacity:
-            self._clear()
-        ids: list[list[int] | None] = []
-        model, other = self.tokenizer.model, []
-        for c in chunks:
-            if c.isalpha() and c.islower():  # ASCII letters only: the normaliser and the split leave it as one piece
-                ids.append([t.id for t in model.tokenize(c.decode())])
-            else:
-                other.append(len(ids))
-                ids.append(None)
-        if other:
-            for k, e in zip(other, self.tokenizer.encode_batch([chunks[k].decode() for k in other], add_special_tokens=False), strict=True):
-                ids[k] = e.ids
-        sizes = np.array([len(x) for x in ids], np.int64)
-        n, at, more = len(self.known), self.used, int(sizes.sum())
-        while len(self.flat) < at + more:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.start) < n + len(ids):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.flat[at : at + more] = [i for x in ids for i in x]
-        self.size[n : n + len(ids)] = sizes
-        self.start[n : n + len(ids)] = at + np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        self.used = at + more
-        for k, c in enumerate(chunks):
-            self.known[c] = n + k
-
-    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each followed by end_id; each text's end)."""
-        chunks: list[bytes] = []
-        counts = []
-        for t in texts:
-            raw = (t or "").encode()
-            if b"<|" in raw:
-                own = raw.split()
-            elif raw.isascii():
-                own = raw.lower().split()
-            else:
-                own = [c.lower() if c.isascii() else c for c in raw.split()]
-            counts.append(len(own))
-            chunks += own
-        at = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            new = list(dict.fromkeys(chunks[k] for k in missing))
-            full = len(self.known) + len(new) > self.capacity
-            if full:
-                new = list(dict.fromkeys(chunks))
-            self._learn(new)
-            if full:
-                at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-            else:
-                at[missing] = np.fromiter((self.known[chunks[k]] for k in missing), np.int64, len(missing))
-        size, start = self.size[at], self.start[at]
-        last = np.cumsum(counts)
-        upto = np.concatenate(([0], np.cumsum(size)))
-        ends = upto[last] + np.arange(1, len(texts) + 1)
-        out = np.empty(int(upto[-1]) + len(texts), np.uint32)
-        out[ends - 1] = end_id
+        self.young, self.old = _Known(), _Known()
+        self.tails: dict[str, list[int]] = {}  # a fixed number: of up to four of nine characters
+
+    def _tokens(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each chunk, all ids).
+
+        Chunks are normalised together; one that is then Latin letters with or without punctuation after them is split in two without
+        the general pattern, and its letters go to the model itself.
+        """
+        if not chunks:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        ids: list[list[int] | None] = [None] * len(chunks)
+        plain = self.tokenizer.normalizer.normalize_str(" ".join(chunks)).split(" ")
+        if len(plain) == len(chunks):
+            model, tails = self.tokenizer.model.tokenize, self.tails
+            for k, m in enumerate(map(_PLAIN.fullmatch, plain)):
+                if m:
+                    word, tail = m.groups()
+                    if tail and tail not in tails:
+                        tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
+                    ids[k] = [t.id for t in model(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES))]
+                    if tail:
+                        ids[k] += tails[tail]
+        rest = [k for k, x in enumerate(ids) if x is None]
+        if rest:
+            e = self.tokenizer.encode([chunks[k] for k in rest], is_pretokenized=True, add_special_tokens=False)
+            for k in rest:
+                ids[k] = []
+            for k, i in zip(e.word_ids, e.ids, strict=True):
+                ids[rest[k]].append(i)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return sizes, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+
+    def _resolve(self, keys: list[int], chunk) -> np.ndarray:
+        """Places in self.young of the distinct keys; chunk(k) is the text of the k-th."""
+        if len(self.young.place) + len(keys) > self.capacity:
+            self.young, self.old = _Known(), self.young
+        new = [k for k, h in enumerate(keys) if h not in self.young.place]
+        again = [k for k in new if keys[k] in self.old.place]
+        if again:
+            at = np.array([self.old.place[keys[k]] for k in again])
+            self.young.add([keys[k] for k in again], self.old.size[at], _gather(self.old.flat, self.old.start[at], self.old.size[at]))
+        new = [k for k in new if keys[k] not in self.old.place]
+        self.young.add([keys[k] for k in new], *self._tokens([chunk(k) for k in new]))
+        return np.fromiter(map(self.young.place.__getitem__, keys), np.int64, len(keys))
+
+    def encode_bytes(self, data: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by end_id; each text's end) of UTF-8 bytes and offsets from 0."""
+        n = len(offs) - 1
+        start, end = K.word_bounds(data, offs)
+        text_of = np.searchsorted(offs, start, "right") - 1
+        first_of = np.searchsorted(start, offs)  # each text's first chunk
+        low = K._LOWER[data]
+        size = end - start
+        if len(start):
+            keep = np.logical_or.reduceat(data >= 128, start) if (data >= 128).any() else np.zeros(len(start), bool)
+            # reduceat runs on to the next chunk's start over white space, which is ASCII
+            marks = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+            if len(marks):
+                special = np.zeros(n, bool)
+                special[np.searchsorted(offs, marks, "right") - 1] = True
+                keep |= special[text_of]
+            if keep.any():
+                at = np.repeat(start[keep] - np.concatenate(([0], np.cumsum(size[keep])[:-1])), size[keep]) + np.arange(size[keep].sum())
+                low[at] = data[at]
+        hashes = K.span_hashes(low, start, end)
+        short = size <= self.LONGEST
+        found, first, where = np.unique(hashes[short], return_index=True, return_inverse=True)
+        spans, raw = np.flatnonzero(short)[first], low.tobytes()
+        lo, hi = start[spans].tolist(), end[spans].tolist()
+        place = self._resolve(found.tolist(), lambda k: raw[lo[k] : hi[k]].decode())[where]
+        chunk_size, chunk_start = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        chunk_size[short], chunk_start[short] = self.young.size[place], self.young.start[place]
+        source = self.young.flat[: self.young.used]
+        if not short.all():
+            sizes, more = self._tokens([raw[start[k] : end[k]].decode() for k in np.flatnonzero(~short)])
+            chunk_size[~short], chunk_start[~short] = sizes, len(source) + np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            source = np.concatenate([source, more])
+        upto = np.concatenate(([0], np.cumsum(chunk_size)))
+        ends = upto[first_of[1:]] + np.arange(1, n + 1)
+        out = np.empty(int(upto[-1]) + n, np.uint32)
         hole = np.ones(len(out), bool)
         hole[ends - 1] = False
-        out[hole] = self.flat[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
+        out[ends - 1] = end_id
+        out[hole] = _gather(source, chunk_start, chunk_size)
         return out, ends
 
+    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.encode_bytes(*K.string_buffers(pa.array(texts, pa.large_string())), end_id)
+
 
 _encoders: dict[str, ChunkEncoder] = {}
 
@@ -156,18 +216,14 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer_path: str, text_col: s
         enc, shard, block, first = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
         bits = bits_for(max(enc.vocabulary, end_id + 1))
         for b in batches:
-            names, texts = b.column(0).to_pylist(), b.column(1)
-            i = 0
-            size = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            upto = np.cumsum(size + 4)
-            while i < len(names):
-                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + 3 * block_ids, "right")))
-                ids, ends = enc.encode(texts.slice(i, j - i).to_pylist(), end_id)
+            names = b.column(0)
+            for i, j, data, offs in K.slices(b.column(1), 3 * block_ids):
+                ids, ends = enc.encode_bytes(data, offs, end_id)
                 yield pa.RecordBatch.from_pydict(
-                    {"shard": [shard], "block": [block], "first": [first], "doc_ids": [names[i:j]], "ends": [ends.tolist()], "bits": [bits], "n_ids": [len(ids)], "payload": [pack(ids, bits)]},
+                    {"shard": [shard], "block": [block], "first": [first], "doc_ids": [names.slice(i, j - i).to_pylist()], "ends": [ends.tolist()], "bits": [bits], "n_ids": [len(ids)], "payload": [pack(ids, bits)]},
                     schema=pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32())), ("bits", pa.int32()), ("n_ids", pa.int32()), ("payload", pa.binary())]),
                 )
-                block, first, i = block + 1, first + len(ids), j
+                block, first = block + 1, first + len(ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(shards, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")

@@ -544,3 +544,16 @@ def test_bits(bits):
     assert len(raw) == -(-999 * bits // 8)
     assert (token_bin.unpack(raw, bits, 0, 999) == ids).all() and (token_bin.unpack(raw, bits, 13, 777) == ids[13:777]).all()
     assert token_bin.bits_for(49408) == 16 and token_bin.bits_for(1) == 1
+
+
+def test_tokens_fuzz():
+    """10,000 texts of letters, marks, punctuation and spaces against the library."""
+    enc = token_bin.ChunkEncoder(queries.tokenizer_path(), capacity=500)
+    rng = np.random.default_rng(3)
+    some = [*"aabcdeeiostTHJWYÉéßñØøÅåıİſŉǅΣσς", "́", "̈", "̊", "̱", "̌", "̸", *".,;:!?)('\"-_]}=<>|#$%&0123 ", " ", " ", "\n", "\t", " ", " ", "‍", "…", "—", "日", "本", "한", "😀", "'s", "'ll", "n't ", "ʼ", "×", "÷", "ª"]
+    texts = ["".join(rng.choice(some, rng.integers(0, 30))) for _ in range(10_000)]
+    want = [[*e.ids, 1] for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for i in range(0, len(texts), 500):
+        ids, ends = enc.encode(texts[i : i + 500], 1)
+        got = np.split(ids, ends[:-1])
+        assert [x.tolist() for x in got] == want[i : i + 500]
