@@ -1,25 +1,30 @@
 """MinHash near-dedup by chosen-path set similarity join.
 
-Documents are sets of 5-word shingles. Equal sets form a class, represented
-by its smallest doc_id. Each independent tree branches the representatives by
-selected minwise tokens: a node selects `BRANCH` of the `sketch` minhash
-coordinates and sends a document to the child of its value in each. A pair of
-similarity J stays together in some child with probability 1-(1-J)**BRANCH,
-so the number of trees follows from the target recall. A node of at most
-`small` documents is compared exhaustively. A larger one is compared with
-`pivots` of its documents, chosen by hash, and branches on; nodes whose documents are
-linked already, directly or not, end. Pairs are tested on size and sketch where
-they meet, so only likely ones leave a node. In nodes that are still large at
-`max_depth`, every document outside the pivots' main component is compared, in
-blocks, with the whole node, so none is capped.
-
-Candidates pass a sketch test that a true link fails with a probability under
-1e-6 and are then confirmed on full shingle sets. Links are merged to
-components in DataFrames; nothing of the documents is collected.
-
-Empty and null texts have no shingles and link with nothing. A null doc_id
-takes no part: its component is null and it is kept. Rows with one doc_id
-count as one document.
+Documents are sets of 5-word shingles. Equal sets form a class, told by two
+64-bit sums over the set's shingle hashes and its size; classes are what is
+joined. Each independent tree branches the classes by selected minwise
+tokens: a node selects `BRANCH` of the `sketch` minhash coordinates and sends
+a class to the child of its value in each. A pair of similarity J stays
+together in some child with probability 1-(1-J)**BRANCH, so the number of
+trees follows from the target recall. A node of at most `small` classes is
+compared exhaustively. A larger one is compared with `pivots` of its classes,
+chosen by hash, and branches on; nodes whose classes are linked already,
+directly or not, end. Pairs are tested on size and sketch where they meet, so
+only likely ones leave a node; they are then confirmed on full shingle sets.
+A true link fails the sketch test with a probability under 3e-6.
+
+In nodes that are still large at `max_depth`, every class outside the pivots'
+main component is compared with the whole node on full sets, in blocks of a
+bounded size on both sides; a block gives no pairs but the links that join
+components, so what leaves it doesn't grow with the square of the node. The
+comparisons do: a node of n classes that aren't linked takes n * n / 2 of them.
+
+Links are merged to components in DataFrames; nothing of the documents is
+collected. Empty and null texts have no shingles and link with nothing. A null
+doc_id takes no part: its component is null and it is kept. Rows with one
+doc_id and different texts each link by their own text, and a component is
+named by the smallest doc_id in it. Other columns are ignored, whatever their
+names; `keep_one` keeps them.
 """
 
 from __future__ import annotations
@@ -27,8 +32,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -37,32 +43,45 @@ from .common import materialize
 BRANCH = 2
 
 
+def _sums(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums of each set's hashes, modulo 2**64."""
+    out = []
+    for x in (flat, K.mix64(flat)):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)))
+        out.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
+    return out[0], out[1]
+
+
+def _class() -> Column:
+    return F.xxhash64("s1", "s2", "n")
+
+
 def sketches(docs: DataFrame, text_col: str, shingle: int, sketch: int, seed: int) -> DataFrame:
+    """doc_id, n (set size), mh (minhashes), rep (class; null for empty sets)."""
+
     def run(batches):
         for b in batches:
             for i, j, data, offs in K.slices(b.column(1)):
                 flat, at = K.shingle_sets(*K.word_hashes(data, offs), shingle)
-                n = np.diff(at)
-                sums = np.concatenate(([0], np.cumsum(flat, dtype=np.uint64))).astype(np.uint64)
-                more = np.concatenate(([0], np.cumsum(K.mix64(flat), dtype=np.uint64))).astype(np.uint64)
-                mh = K.minhashes(flat, at, sketch, seed)
-                values = pa.array(mh.view(np.int32).ravel())
-                yield pa.RecordBatch.from_arrays([
-                    b.column(0).slice(i, j - i), pa.array(n), pa.array((sums[at[1:]] - sums[at[:-1]]).view(np.int64)), pa.array((more[at[1:]] - more[at[:-1]]).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * sketch), values),
-                ], names=["doc_id", "n", "s1", "s2", "mh"])
+                values = pa.array(K.minhashes(flat, at, sketch, seed).view(np.int32).ravel())
+                s1, s2 = _sums(flat, at)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * sketch), values)], names=["doc_id", "n", "s1", "s2", "mh"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_col).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, mh array<int>")
+    out = docs.select(F.col("doc_id").cast("long"), text_col).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, mh array<int>")
+    return out.select("doc_id", "n", "mh", F.when(F.col("n") > 0, _class()).alias("rep"))
 
 
 def full_sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """rep (class) and s, the sorted set, for each row of docs."""
+
     def run(batches):
         for b in batches:
-            for i, j, data, offs in K.slices(b.column(1)):
+            for _, _, data, offs in K.slices(b.column(0)):
                 flat, at = K.shingle_sets(*K.word_hashes(data, offs), shingle)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))], names=["id", "s"])
+                s1, s2 = _sums(flat, at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(at)), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))], names=["n", "s1", "s2", "s"])
 
-    return docs.mapInArrow(run, "id long, s array<bigint>")
+    return docs.select(text_col).mapInArrow(run, "n long, s1 long, s2 long, s array<bigint>").select(_class().alias("rep"), "s")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -111,22 +130,78 @@ def pivot_pairs(nodes: DataFrame, pivots: DataFrame, percent: int, least: int) -
     return nodes.alias("x").join(pivots.alias("p"), on).select(*_ordered("x", "p"))
 
 
-def cross_pairs(nodes: DataFrame, percent: int, least: int, block: int) -> DataFrame:
-    """Likely pairs within nodes of any size, in blocks: what is outside the component of most pivots meets the whole node.
+def sets_of(ids: DataFrame, reps: DataFrame, docs: DataFrame, *, text_col: str, shingle: int, broadcast_ids: int) -> DataFrame:
+    """rep and s of the classes in ids (rep)."""
+    wanted = materialize(reps.join(ids, "rep", "left_semi").select(F.col("doc").alias("doc_id")), "wanted")
+    few = wanted.count() <= broadcast_ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    return materialize(full_sets(texts, text_col, shingle), "sets").join(ids, "rep", "left_semi").dropDuplicates(["rep"])
+
+
+def link_block(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) that join components, between a block's classes outside the main component (side 1) and a block of the node (side 0).
 
-    A pair that several nodes hold comes from the one with the smallest key.
+    Sets are numbered once; a class is then compared with the whole block by one look-up of each of the block's shingles.
+    A pair that several nodes hold is left to the one with the smallest key.
     """
-    count = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = F.greatest(F.ceil(F.col("size") / block), F.lit(1)).cast("int")
-    whole = nodes.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("in", F.col("label") == F.col("main"))
-    others = nodes.where("label <> main").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    once = F.array_min(F.array_intersect("o.keys", "w.keys")) == F.col("o.key")
-    on = (F.col("o.key") == F.col("w.key")) & (F.col("o.part") == F.col("w.part")) & (F.col("in") | (F.col("w.rep") > F.col("o.rep"))) & likely("o", "w", percent, least) & once
-    return others.repartition(count, "key", "part").alias("o").join(whole.repartition(count, "key", "part").alias("w"), on).select(*_ordered("o", "w"))
+    pdf = pdf.sort_values(["side", "rep"], kind="stable")
+    side, rep, n = pdf["side"].to_numpy(), pdf["rep"].to_numpy(), np.array([len(s) for s in pdf["s"]])
+    w, o = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(w) or not len(o):
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    flat, number = np.unique(np.concatenate([np.asarray(s, np.int64) for s in pdf["s"]]), return_inverse=True)
+    at = np.concatenate(([0], np.cumsum(n)))
+    whole = number[: at[len(w)]]
+    # nodes with a smaller key that hold both
+    key, lists = pdf["key"].iloc[0], [[k for k in x if k < pdf["key"].iloc[0]] for x in pdf["keys"]]
+    names = {k: i for i, k in enumerate(sorted({k for x in lists for k in x}))}
+    member = np.zeros((len(pdf), len(names)), np.float32)
+    for i, x in enumerate(lists):
+        member[i, [names[k] for k in x]] = 1
+    elsewhere = member[o] @ member[w].T > 0
+    free = ~elsewhere & ((pdf["main"].to_numpy()[w] == 1)[None] | (rep[w][None] > rep[o][:, None]))
+    low, high = np.minimum(n[o][:, None], n[w][None]), np.maximum(n[o][:, None], n[w][None])
+    free &= 100 * low >= percent * high
+    top: dict = {}
+
+    def root(x):
+        while (up := top.get(x, x)) != x:
+            top[x] = x = top.get(up, up)
+        return x
+
+    labels, out, mask = pdf["label"].tolist(), [], np.zeros(len(flat), bool)
+    for r, i in enumerate(o.tolist()):
+        if not free[r].any():
+            continue
+        own = number[at[i] : at[i + 1]]
+        mask[own] = True
+        both = np.add.reduceat(mask[whole].astype(np.int32), at[: len(w)])
+        mask[own] = False
+        for k in np.flatnonzero(free[r] & (100 * both >= percent * (n[i] + n[w] - both))).tolist():
+            x, y = root(labels[i]), root(labels[w[k]])
+            if x != y:
+                top[x] = y
+                out.append((min(rep[i], rep[w[k]]), max(rep[i], rep[w[k]])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def block_links(live: DataFrame, reps: DataFrame, docs: DataFrame, *, percent: int, block: int, block_shingles: int, **options) -> DataFrame:
+    """Links within nodes of any size, in blocks: what is outside the main component of a node meets the whole node."""
+    held = live.groupBy("rep").agg(F.collect_set("key").alias("keys"))
+    sized = live.join(reps.select("rep", "n"), "rep")
+    parts = sized.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("wp"), F.greatest(F.ceil(F.sum((F.col("label") != F.col("main")).cast("int")) / block), F.ceil(F.sum(F.when(F.col("label") != F.col("main"), F.col("n"))) / block_shingles), F.lit(1)).cast("int").alias("op"))
+    sets = sets_of(live.where("label <> main").select("rep").union(live.select("rep")).distinct(), reps, docs, **options)
+    rows = materialize(sized.join(held, "rep").join(parts, "key"), "blocks").withColumn("main", (F.col("label") == F.col("main")).cast("int")).where("op > 0 and wp > 0")
+    own = lambda p: F.pmod(F.xxhash64("rep"), F.col(p)).cast("int")
+    every = lambda p: F.explode(F.sequence(F.lit(0), F.col(p) - 1))
+    cols = ["key", "i", "j", "side", "rep", "label", "main", "keys"]
+    whole = rows.withColumn("j", own("wp")).withColumn("i", every("op")).withColumn("side", F.lit(0)).select(*cols)
+    others = rows.where("main = 0").withColumn("i", own("op")).withColumn("j", every("wp")).withColumn("side", F.lit(1)).select(*cols)
+    return whole.union(others).join(sets, "rep").groupBy("key", "i", "j").applyInPandas(lambda pdf: link_block(pdf, percent), "a long, b long").distinct()
 
 
 def near_duplicates(
-    docs: DataFrame, *, text_col: str = "text", shingle: int = 5, percent: int = 85, recall: float = 0.99999, sketch: int = 64, small: int = 64, block: int = 1024, pivots: int = 5, max_depth: int = 2, seed: int = 3, broadcast_ids: int = 500_000
+    docs: DataFrame, *, text_col: str = "text", shingle: int = 5, percent: int = 85, recall: float = 0.99999, sketch: int = 64, small: int = 64, block: int = 1024, block_shingles: int = 1 << 19, pivots: int = 5, max_depth: int = 2, seed: int = 3, broadcast_ids: int = 500_000
 ) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept."""
     s = percent / 100
@@ -137,14 +212,12 @@ def near_duplicates(
     if trees * BRANCH > sketch:
         raise ValueError("the sketch has too few coordinates for this recall")
     least = max(0, math.floor(sketch * s - 5 * math.sqrt(sketch * s * (1 - s))))
-    spark = docs.sparkSession
     nulls = docs.where("doc_id is null").select("doc_id", F.col(text_col))
     known = docs.where("doc_id is not null")
+    options = {"text_col": text_col, "shingle": shingle, "broadcast_ids": broadcast_ids}
 
     sets = materialize(sketches(known, text_col, shingle, sketch, seed), "sketches")
-    classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    members = materialize(sets.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    reps = materialize(sets.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "mh"), "representatives")
+    reps = materialize(sets.where("rep is not null").groupBy("rep").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("mh").alias("mh")), "representatives")
 
     rng = np.random.default_rng([seed, 1])
     roots = rng.permutation(sketch)[: trees * BRANCH]
@@ -165,14 +238,14 @@ def near_duplicates(
             break
         last = depth > max_depth
         if last:
-            held = live.groupBy("rep").agg(F.collect_set("key").alias("keys"))
-            pairs = cross_pairs(live.drop("pivots").join(held, "rep").join(reps, "rep"), percent, least, block)
+            edges = materialize(block_links(live.drop("pivots"), reps, known, percent=percent, block=block, block_shingles=block_shingles, **options), "links")
+            edges = None if edges.isEmpty() else edges
         else:
             large = live.where(F.col("size") > small)
             lead = large.select("key", F.explode("pivots").alias("p")).select("key", "p.rep", "p.label").distinct()
             full = [x.select("key", "rep", "label").join(reps, "rep") for x in (live.where(F.col("size") <= small), large, lead)]
             pairs = small_pairs(full[0], percent, least).union(pivot_pairs(full[1], full[2], percent, least)).distinct()
-        edges = confirm(pairs, known, text_col=text_col, shingle=shingle, percent=percent, broadcast_ids=broadcast_ids)
+            edges = confirm(pairs, reps, known, percent=percent, **options)
         if edges is not None:
             links = edges if links is None else materialize(links.union(edges), "links")
             labels = components(links).withColumnRenamed("id", "rep")
@@ -182,32 +255,34 @@ def near_duplicates(
         if depth < max_depth:
             child = [F.pmod(F.xxhash64("key", F.lit(j)), F.lit(sketch)).cast("int") for j in range(BRANCH)]
             nodes = nodes.join(reps, "rep").select("rep", F.explode(F.array(*[F.xxhash64("key", c, F.get("mh", c)) for c in child])).alias("key"))
-    out = members
+    # a class' component is named by the smallest doc_id of its classes
+    named = reps.select("rep", F.col("doc").alias("component_id"))
     if labels is not None:
-        out = members.join(labels, "rep", "left").select("doc_id", "n", F.coalesce("label", "rep").alias("rep"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"), (F.col("doc_id") == F.col("rep")).alias("kept"))
+        smallest = labels.join(reps.select("rep", "doc"), "rep").groupBy("label").agg(F.min("doc").alias("lead"))
+        linked = labels.join(smallest, "label").select("rep", "lead")
+        named = named.join(linked, "rep", "left").select("rep", F.coalesce("lead", "component_id").alias("component_id"))
+    out = sets.select("doc_id", "n", "rep").join(named, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     if nulls.isEmpty():
         return out
     loose = sketches(nulls, text_col, shingle, 1, seed).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return out.union(loose) if spark else out
+    return out.union(loose)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, *, text_col: str, shingle: int, percent: int, broadcast_ids: int) -> DataFrame | None:
-    """The pairs (a, b) whose full sets are similar enough; None if there are none."""
+def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, *, percent: int, **options) -> DataFrame | None:
+    """The pairs (a, b) of classes whose full sets are similar enough; None if there are none."""
     pairs = materialize(pairs, "likely")
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "likely-ids")
-    n = ids.count()
-    if not n:
+    if pairs.isEmpty():
         return None
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col).join(F.broadcast(ids) if n <= broadcast_ids else ids, "doc_id", "left_semi")
-    sets = materialize(full_sets(texts, text_col, shingle), "sets").dropDuplicates(["id"])
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    sets = sets_of(ids, reps, docs, **options)
+    both = pairs.join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
     both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
     links = materialize(both.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b"), "links")
     return None if links.isEmpty() else links
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without near copies: of each component the smallest doc_id stays; columns as they are."""
+    """docs without near copies: of each component the documents with the smallest doc_id stay; columns as they are."""
     gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -270,7 +270,7 @@ def brute_near(pairs, percent=85):
             by[x].add(i)
     seen = set()
     for g in by.values():
-        for a, b in combinations(sorted(g), 2) if len(g) < 400 else ():
+        for a, b in combinations(sorted(g), 2):
             if (a, b) not in seen:
                 seen.add((a, b))
                 n = len(sets[a] & sets[b])
@@ -298,7 +298,7 @@ def test_near_groups(spark):
     df = spark.createDataFrame(pairs, "doc_id long, text string")
     want = brute_near(pairs)
     for small in (4, 32):
-        out = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows(near_dup.near_duplicates(df, small=small, max_depth=3, broadcast_ids=0 if small == 4 else 1000))}
+        out = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows(near_dup.near_duplicates(df, small=small, max_depth=1 if small == 4 else 3, block=20, broadcast_ids=0 if small == 4 else 1000))}
         assert out == want
 
 
@@ -306,6 +306,9 @@ def test_near_edges(spark, odd, none):
     out = {r["doc_id"]: r for r in rows(near_dup.near_duplicates(odd))}
     assert out[3]["component_id"] == out[4]["component_id"] == 3 and out[7]["component_id"] == 6 and out[None]["kept"] and out[1]["n_shingles"] == 0 and out[2]["kept"]
     assert near_dup.near_duplicates(none).count() == 0
+    a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    twice = odd.sparkSession.createDataFrame([(5, a), (5, b), (6, a + " x"), (7, b + " x"), (9, "z")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows(near_dup.near_duplicates(twice))) == [(5, 5), (5, 5), (6, 5), (7, 5), (9, 9)]
     assert {r["doc_id"] for r in rows(near_dup.keep_one(odd))} == {1, 2, 3, None, 6, 8, 9, 10}
 
 
