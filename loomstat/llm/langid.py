@@ -1,26 +1,32 @@
 """Language identification by prediction by partial matching (PPM) over bytes.
 
 For each language a context tree of variable order (0 to `order` bytes) is
-trained on a bounded, documented sample: the first `max_chars` characters of
-at most `per_lang` labelled texts a language, chosen by a hash of their id, and
-the 200 most frequent languages. Statistics are then frozen: in a context
-that has seen n bytes, d of them distinct, byte x costs -log2(count / (n+d))
-if seen, else the escape d / (n+d) times its probability in the next shorter
-context, with what the longer one has seen excluded. All costs are computed
-once per (context, byte, language), so scoring a byte is two table look-ups
-and a text's code lengths are sums, exact for the whole text.
-
-The predicted language has the shortest code; `score` is its share of
-2**-length over all languages. Texts that are null or have no letter are
-`und`, score 0. ASCII letters are lower-cased. Bytes never seen in training
-share one symbol. With no labelled text at all every document is `und`.
+trained on a bounded, documented sample of labelled texts: the first
+`max_chars` characters of at most `per_lang` texts a language, chosen by a
+hash, and in all at most about `sample_chars` characters, shared equally by
+the languages. Every labelled language has a tree, whatever their number and
+whatever their alphabets. Statistics are then frozen: in a context that has
+seen n bytes, d of them distinct, byte x costs -log2(count / (n+d)) if seen,
+else the escape d / (n+d) times its probability in the next shorter context,
+with what the longer one has seen excluded; below order 0 all 256 bytes are
+equal. Before a text stand newlines. A tree is sorted arrays: the cost of each
+(context, byte) that was seen and the escape cost of each context, so its size
+goes with its sample. In scoring, the distinct (context, byte) pairs of a run
+of texts are looked up once for each language; a text's code lengths are sums,
+exact for the whole text.
+
+The predicted language has the shortest code, of equal ones the first by name;
+`score` is its share of 2**-length over all languages. Texts that are null or
+have no letter are `und`, score 0. ASCII letters are lower-cased. With no
+labelled text at all every document is `und`. Repeated rows count once in the
+sample. Columns named like the results are replaced, others kept.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import _LOWER, slices
@@ -29,103 +35,85 @@ _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 
 
-class PpmModel:
-    def __init__(self, texts: dict[str, list[bytes]], order: int = 3, max_nodes: int = 1 << 14):
-        """Nodes: contexts of up to `order` bytes, the most frequent `max_nodes` of the longest order."""
-        self.langs = sorted(texts)
-        L = len(self.langs)
-        if not L:
-            return
-        joined = [np.frombuffer(b"\n".join([b"", *texts[k], b""]), np.uint8) for k in self.langs]
-        joined = [_LOWER[x] for x in joined]
-        seen = np.unique(np.concatenate([*joined, np.array([10], np.uint8)]))
-        self.A = A = len(seen) + 1
-        self.symbol = np.full(256, A - 1, np.int64)
-        self.symbol[seen] = np.arange(len(seen))
-        self.newline = int(self.symbol[10])
-        self.order = order = min(order, 3 if A <= 160 else 2)
-        streams = [self.symbol[x] for x in joined]
-        # ids of the known contexts of each order
-        nodes = {0: {0: 0}}
-        for k in range(1, order + 1):
-            codes, counts = [], []
-            for s in streams:
-                c, n = np.unique(self._codes(s, k)[: max(len(s) - k, 0)], return_counts=True)
-                codes.append(c)
-                counts.append(n)
-            c, where = np.unique(np.concatenate(codes), return_inverse=True)
-            n = np.bincount(where, np.concatenate(counts), len(c))
-            keep = c[np.argsort(-n, kind="stable")[:max_nodes]] if k == order else c[n > 0]
-            nodes[k] = {int(x): i for i, x in enumerate(np.sort(keep))}
-        base, total = {}, 0
-        for k in range(order + 1):
-            base[k], total = total, total + len(nodes[k])
-        prob = np.zeros((total, A, L))
-        for li, s in enumerate(streams):
-            prob[0, :, li] = self._mix(np.bincount(s, minlength=A).astype(float)[None], np.full((1, A), 1 / A))[0]
-        deepest = np.zeros(A**order, np.int32)
+def windows(data: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
+    """For each byte the `order` bytes before it and itself as one number, the byte lowest; before a text there are newlines."""
+    out = data.astype(np.uint64)
+    for j in range(1, order + 1):
+        x = np.full(len(data), 10, np.uint64)
+        x[j:] = data[:-j] if len(data) > j else 0
+        for d in range(j):
+            at = offs[:-1] + d
+            x[at[at < offs[1:]]] = 10
+        out |= x << np.uint64(8 * j)
+    return out
+
+
+class Tree:
+    """One language's contexts. keys[k], costs[k]: the pairs seen at order k; contexts[k], escapes[k]: escape costs."""
+
+    def __init__(self, texts: list[bytes], order: int):
+        data = _LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+        offs = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+        codes = windows(data, offs, order)
+        n = np.bincount(data, minlength=256).astype(float)
+        d = (n > 0).sum()
+        unseen = d / max(n.sum() + d, 1) / max(256 - d, 1) if d else 1 / 256
+        zero = np.where(n > 0, n / (n.sum() + (d if d < 256 else 0)) if d else 0, unseen)
+        self.zero = -np.log2(zero)
+        self.keys, self.costs, self.contexts, self.escapes, lower = [None], [None], [None], [None], zero
         for k in range(1, order + 1):
-            ids = np.array(list(nodes[k]), np.int64)
-            place = np.full(A**k, -1, np.int32)
-            place[ids] = base[k] + np.arange(len(ids))
-            shorter = ids % A ** (k - 1)
-            up = np.zeros(len(ids), np.int64) if k == 1 else self._last[shorter]
-            for li, s in enumerate(streams):
-                counts = np.zeros((len(ids), A))
-                ctx = self._codes(s, k)[:-1] if len(s) > k else np.zeros(0, np.int64)
-                at = place[ctx]
-                ok = at >= 0
-                np.add.at(counts, (at[ok] - base[k], s[k:][ok]), 1)
-                prob[base[k] : base[k] + len(ids), :, li] = self._mix(counts, prob[up, :, li])
-            full = np.arange(A**k)
-            self._last = np.where(place >= 0, place, np.zeros(A**k, np.int32) if k == 1 else self._last[full % A ** (k - 1)])
-            deepest = self._last
-        self.deepest = deepest.astype(np.int32)
-        del self._last
-        self.cost = (-np.log2(np.maximum(prob, 1e-30))).astype(np.float32).reshape(total * A, L)
-
-    def _codes(self, s: np.ndarray, k: int) -> np.ndarray:
-        """Codes of the k symbols that end at each place from k - 1 on."""
-        out = np.zeros(max(len(s) - k + 1, 0), np.int64)
-        for j in range(k):
-            out = out * self.A + s[j : j + len(out)]
+            keys, count = np.unique(codes & np.uint64((1 << (8 * k + 8)) - 1), return_counts=True)
+            below = keys & np.uint64((1 << (8 * k)) - 1)  # the same pair one order down, which has been seen
+            p = lower[below.astype(np.int64)] if k == 1 else lower[np.searchsorted(self.keys[k - 1], below)]
+            contexts, first = np.unique(keys >> np.uint64(8), return_index=True)
+            total = np.add.reduceat(count, first) if len(first) else np.zeros(0)
+            distinct = np.diff(np.append(first, len(keys)))
+            left = 1 - (np.add.reduceat(p, first) if len(first) else np.zeros(0))
+            whole = left <= 1e-12  # nothing is left for an escape
+            size = total + np.where(whole, 0, distinct)
+            lower = count / np.repeat(size, distinct)
+            self.keys.append(keys)
+            self.costs.append(-np.log2(lower))
+            self.contexts.append(contexts)
+            self.escapes.append(np.where(whole, 0.0, -np.log2(np.maximum(distinct / size, 1e-300) / np.maximum(left, 1e-300))))
+
+    def cost(self, codes: np.ndarray, order: int) -> np.ndarray:
+        """Bits of each pair in codes."""
+        out, todo = np.zeros(len(codes)), np.arange(len(codes))
+        for k in range(order, 0, -1):
+            own = codes[todo] & np.uint64((1 << (8 * k + 8)) - 1)
+            at, seen = _find(self.keys[k], own)
+            out[todo[seen]] += self.costs[k][at[seen]]
+            todo, own = todo[~seen], own[~seen]
+            at, known = _find(self.contexts[k], own >> np.uint64(8))
+            out[todo[known]] += self.escapes[k][at[known]]
+        out[todo] += self.zero[(codes[todo] & np.uint64(255)).astype(np.int64)]
         return out
 
-    @staticmethod
-    def _mix(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        n, d = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        free = np.where(counts > 0, 0.0, lower)
-        left = free.sum(1, keepdims=True)
-        all_seen = left <= 1e-12
-        escape = np.where(all_seen, 0, d) / np.maximum(n + np.where(all_seen, 0, d), 1)
-        out = counts / np.maximum(n + np.where(all_seen, 0, d), 1) + escape * free / np.maximum(left, 1e-300)
-        return np.where(n > 0, out, lower)
-
-    def code_lengths(self, data: np.ndarray, offs: np.ndarray, step: int = 1 << 19) -> np.ndarray:
+
+def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+class PpmModel:
+    def __init__(self, texts: dict[str, list[bytes]], order: int = 3):
+        if not 1 <= order <= 6:
+            raise ValueError("order is from 1 to 6")
+        self.langs, self.order = sorted(texts), order
+        self.trees = [Tree(texts[k], order) for k in self.langs]
+
+    def code_lengths(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """(texts, languages): bits."""
-        n, k = len(offs) - 1, self.order
-        out = np.zeros((n, len(self.langs)))
-        if not len(data):
+        out = np.zeros((len(offs) - 1, len(self.langs)))
+        full = np.flatnonzero(np.diff(offs))
+        if not len(full):
             return out
-        s = self.symbol[_LOWER[data]]
-        for a in range(0, len(s), step):
-            b = min(a + step, len(s))
-            code = np.zeros(b - a, np.int64)
-            for j in range(k, 0, -1):  # the symbol j places before
-                x = np.full(b - a, self.newline, np.int64)
-                lo = max(a - j, 0)
-                x[lo + j - a :] = s[lo : b - j]
-                near = offs[np.searchsorted(offs, a, "right") - 1 : np.searchsorted(offs, b, "left")]
-                for d in range(j):  # before a text there are newlines
-                    p = near + d - a
-                    x[p[(p >= 0) & (p < b - a)]] = self.newline
-                code = code * self.A + x
-            cost = self.cost[self.deepest[code].astype(np.int64) * self.A + s[a:b]]
-            i0, i1 = np.searchsorted(offs, a, "right") - 1, np.searchsorted(offs, b, "left")
-            cuts = np.clip(offs[i0:i1], a, None) - a
-            full = np.diff(np.append(cuts, b - a)) > 0
-            if full.any():
-                out[np.arange(i0, i1)[full]] += np.add.reduceat(cost, cuts[full], axis=0, dtype=np.float64)
+        codes, where = np.unique(windows(_LOWER[data], offs, self.order), return_inverse=True)
+        for k, tree in enumerate(self.trees):
+            out[full, k] = np.add.reduceat(tree.cost(codes, self.order)[where], offs[:-1][full])
         return out
 
     def predict(self, col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -148,21 +136,21 @@ class PpmModel:
         return langs, np.concatenate(scores) if scores else np.zeros(0), np.concatenate(rate) if rate else np.zeros(0)
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", per_lang: int = 400, max_chars: int = 8000, order: int = 3, max_langs: int = 200) -> PpmModel:
+def fit(docs: DataFrame, *, text_col: str = "text", per_lang: int = 400, max_chars: int = 8000, sample_chars: int = 32_000_000, order: int = 3) -> PpmModel:
     """Train on the rows of docs that have a lang: a bounded sample, long texts by their beginnings."""
     usable = docs.where(F.col("lang").isNotNull() & F.col(text_col).isNotNull())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    place = F.pmod(F.xxhash64(F.lit(17), "doc_id", text_col), F.lit(1 << 30))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
+    langs = counts.count()
+    most = max(1, min(per_lang, sample_chars // (max_chars * max(langs, 1))))
+    # a share of the rows that holds `most` of a language for sure, if it has them; the first by place are taken
+    rows = usable.select("lang", F.substring(text_col, 1, max_chars).alias("t"), place.alias("p"), F.xxhash64(F.lit(18), text_col).alias("__h"))
+    rows = rows.join(F.broadcast(counts) if langs <= 100_000 else counts, "lang").where(F.col("p") * F.col("__n") < F.lit((1 << 30) * (4 * most + 40))).drop("__n")
+    first = Window.partitionBy("lang").orderBy("p", "__h")
+    rows = rows.dropDuplicates(["lang", "p", "__h"]).withColumn("r", F.row_number().over(first)).where(F.col("r") <= most)
     texts: dict[str, list[bytes]] = {}
-    place = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30))
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1 << 30, 4 * per_lang * (1 << 30) // r["count"])).otherwise(share)
-    if counts:
-        rows = usable.where(place < share).select("lang", F.substring(text_col, 1, max_chars).alias("t"), place.alias("p"), "doc_id")
-        for r in rows.orderBy("p", "doc_id").limit(4 * per_lang * len(counts)).toLocalIterator():
-            own = texts.setdefault(r["lang"], [])
-            if len(own) < per_lang:
-                own.append(r["t"].encode())
+    for r in rows.select("lang", "t", "p", "__h").orderBy("lang", "p", "__h").toLocalIterator():
+        texts.setdefault(r["lang"], []).append(r["t"].encode())
     return PpmModel(texts, order)
 
 
@@ -170,7 +158,7 @@ def predict(model: PpmModel, docs: DataFrame, *, text_col: str = "text") -> Data
     """docs' columns and lang_pred, score, bits_per_byte (instead of any of those names)."""
     new = ("lang_pred", "score", "bits_per_byte")
     own = [c for c in docs.columns if c not in new]
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample, the order and the number of languages
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # its size goes with the sample, which sample_chars bounds
     at = own.index(text_col)
     types = dict(docs.dtypes)
 
@@ -182,7 +170,7 @@ def predict(model: PpmModel, docs: DataFrame, *, text_col: str = "text") -> Data
     return docs.select(*own).mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in own], "lang_pred string, score double, bits_per_byte double"]))
 
 
-def predict_narrow(model: PpmModel, docs: DataFrame, *, text_col: str = "text", drop_text: bool = True) -> DataFrame:
+def predict_narrow(model: PpmModel, docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """As predict, but the text is read and not carried."""
     new = ("lang_pred", "score", "bits_per_byte")
     own = [c for c in docs.columns if c not in (*new, text_col)]

@@ -388,16 +388,63 @@ def test_language(spark, data, docs):
     assert np.mean(good) > 0.9 and len(out) == len(docs) and all(0 <= r["score"] <= 1 for r in out.values())
 
 
-def test_language_model():
-    texts = {"a": [b"abab abab abba", b"baab"], "b": [b"xyxy abxy", b"yyx"]}
-    m = langid.PpmModel(texts, order=2)
-    p = np.exp2(-m.cost.reshape(-1, m.A, 2).astype(np.float64)).sum(1)
-    assert np.allclose(p, 1, atol=1e-4)  # each context's costs are a distribution
+def brute_ppm(train, text, order=3):
+    """Bits of text, symbol by symbol, from counts in dictionaries."""
+    seen = defaultdict(Counter)
+    for t in train:
+        t = bytes(b + 32 if 65 <= b < 91 else b for b in t)
+        padded = b"\n" * order + t
+        for i in range(len(t)):
+            for k in range(order + 1):
+                seen[padded[i + order - k : i + order]][padded[i + order]] += 1
+
+    def p(ctx, x):
+        c = seen.get(ctx) if ctx is not None else None
+        shorter = ctx[1:] if ctx else None
+        if ctx is None:
+            return 1 / 256
+        if not c:
+            return p(shorter, x)
+        left = 1 - sum(p(shorter, y) for y in c)
+        n, d = sum(c.values()), len(c) if left > 1e-12 else 0
+        return c[x] / (n + d) if x in c else d / (n + d) * p(shorter, x) / left
+
+    text = bytes(b + 32 if 65 <= b < 91 else b for b in text)
+    padded = b"\n" * order + text
+    return -sum(math.log2(p(padded[i : i + order], padded[i + order])) for i in range(len(text)))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_language_model(order):
     import pyarrow as pa
 
-    whole = m.code_lengths(*__import__("loomstat.llm.kernels", fromlist=["x"]).string_buffers(pa.array(["abab xy", "", "yx\nab" * 50])))
-    cut = m.code_lengths(*__import__("loomstat.llm.kernels", fromlist=["x"]).string_buffers(pa.array(["abab xy", "", "yx\nab" * 50])), step=3)
-    assert np.allclose(whole, cut, rtol=1e-5) and whole[1].sum() == 0
+    from loomstat.llm import kernels
+
+    every = bytes(range(256)) * 2  # more than any alphabet's bytes
+    texts = {"a": [b"abab abab Abba", b"baab", b""], "b": [b"xyxy abxy", b"yyx"], "c": [every], "d": ["дом и мир, мир и дом".encode()]}
+    m = langid.PpmModel(texts, order=order)
+    asked = ["abab xy", "", "yx\nab" * 5, "дом Abba", "ж", "ba"]
+    got = m.code_lengths(*kernels.string_buffers(pa.array(asked)))
+    assert np.allclose(got, [[brute_ppm(texts[k], t.encode(), order) for k in "abcd"] for t in asked])
+    one = m.code_lengths(*kernels.string_buffers(pa.array(asked[2:3])))
+    assert np.allclose(one, got[2:3])
+    same = langid.PpmModel({"z": [b"abc"], "y": [b"abc"]})
+    assert same.predict(pa.array(["abc", None, "1"]))[0] == ["y", "und", "und"]
+
+
+def test_language_many(spark):
+    """More languages, scripts and lengths than any bound of earlier versions: each has its tree."""
+    rng = np.random.default_rng(1)
+    rows_ = []
+    for k in range(230):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(12)] if k % 2 else [chr(0xAC00 + 12 * k + j) for j in range(12)]
+        for j in range(2):
+            rows_.append((2 * k + j, "".join(rng.choice(letters, 60)) * (200 if j else 1), f"l{k:03d}"))
+    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert len(model.langs) == 230
+    out = {r["doc_id"]: r["lang_pred"] for r in rows(langid.predict_narrow(model, df.drop("lang")))}
+    assert np.mean([out[i] == lang for i, _, lang in rows_]) > 0.98
 
 
 def test_language_edges(spark, odd, none):
