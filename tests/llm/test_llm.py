@@ -84,6 +84,26 @@ def test_mix_edges(odd, none, spark):
         assert sorted(g["mix_position"]) == list(range(len(g)))
 
 
+def test_mix_draws(spark, data, docs):
+    """The copies drawn against the tree: quotas, disjoint places, whole epochs."""
+    out = mixing.mix_report(table(spark, data, "documents"), shards=8, block_words=2000).toPandas()
+    assert (out["taken"] == out["size"] * out["n_copies"]).all() and (out["n_copies"] == [len(x) for x in out["shards"]]).all()
+    places = [(s, p) for r in out.itertuples() for s, p in zip(r.shards, r.positions, strict=True)]
+    assert len(set(places)) == len(places)
+    by_shard = defaultdict(list)
+    for s, p in places:
+        by_shard[s].append(p)
+    assert all(sorted(v) == list(range(len(v))) for v in by_shard.values()) and set(by_shard) == set(range(8))
+    words = Counter()
+    for r in out.itertuples():
+        for s in r.shards:
+            words[s] += r.size
+    assert max(words.values()) < 3 * min(words.values())  # about equal instances of about equal blocks
+    mixed = mixing.mix(table(spark, data, "documents"), shards=8, block_words=2000).toPandas()
+    assert Counter(mixed["doc_id"]) == Counter({r.doc_id: r.n_copies for r in out.itertuples() if r.n_copies})
+    assert sorted(zip(mixed["mix_shard"], mixed["mix_position"], strict=True)) == sorted(places)
+
+
 def test_tree():
     t = mixing.splitting_tree([7, 0, 100, 13], 8, 5)
     assert [sum(r[i] for r in t) for i in range(4)] == [7, 0, 100, 13] and min(map(min, t)) >= 0 and max(map(sum, t)) - min(map(sum, t)) <= 2
