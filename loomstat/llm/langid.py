@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import _LOWER, slices
+from .kernels import _LOWER, find_sorted, frugal, slices
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -82,22 +82,15 @@ class Tree:
         out, todo = np.zeros(len(codes)), np.arange(len(codes))
         for k in range(order, 0, -1):
             own = codes[todo] & np.uint64((1 << (8 * k + 8)) - 1)
-            at, seen = _find(self.keys[k], own)
+            at, seen = find_sorted(self.keys[k], own)
             out[todo[seen]] += self.costs[k][at[seen]]
             todo, own = todo[~seen], own[~seen]
-            at, known = _find(self.contexts[k], own >> np.uint64(8))
+            at, known = find_sorted(self.contexts[k], own >> np.uint64(8))
             out[todo[known]] += self.escapes[k][at[known]]
         out[todo] += self.zero[(codes[todo] & np.uint64(255)).astype(np.int64)]
         return out
 
 
-def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return at, keys[at] == asked
-
-
 class PpmModel:
     def __init__(self, texts: dict[str, list[bytes]], order: int = 3):
         if not 1 <= order <= 6:
@@ -162,6 +155,7 @@ def predict(model: PpmModel, docs: DataFrame, *, text_col: str = "text") -> Data
     at = own.index(text_col)
     types = dict(docs.dtypes)
 
+    @frugal
     def run(batches):
         for b in batches:
             langs, score, rate = sent.value.predict(b.column(at))
@@ -177,6 +171,7 @@ def predict_narrow(model: PpmModel, docs: DataFrame, *, text_col: str = "text")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     types = dict(docs.dtypes)
 
+    @frugal
     def run(batches):
         for b in batches:
             langs, score, rate = sent.value.predict(b.column(len(own)))

@@ -59,6 +59,7 @@ def _class() -> Column:
 def sketches(docs: DataFrame, text_col: str, shingle: int, sketch: int, seed: int) -> DataFrame:
     """doc_id, n (set size), mh (minhashes), rep (class; null for empty sets)."""
 
+    @K.frugal
     def run(batches):
         for b in batches:
             for i, j, data, offs in K.slices(b.column(1)):
@@ -74,6 +75,7 @@ def sketches(docs: DataFrame, text_col: str, shingle: int, sketch: int, seed: in
 def full_sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
     """rep (class) and s, the sorted set, for each row of docs."""
 
+    @K.frugal
     def run(batches):
         for b in batches:
             for _, _, data, offs in K.slices(b.column(0)):

@@ -30,6 +30,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .kernels import frugal
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -176,6 +178,7 @@ def join_spans(spans: list[tuple[int, int, int]]) -> str:
 def scan_secrets(docs: DataFrame, *, text_col: str = "text", least_log10: float = 10.0) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess, max_log10_guesses."""
 
+    @frugal
     def run(batches):
         for b in batches:
             counts, digests, spans, most = ([], [], [], []), [], [], []
@@ -206,6 +209,7 @@ def mask_secrets(docs: DataFrame, *, text_col: str = "text", least_log10: float
             last = max(last, e)
         return "".join([*out, text[last:]])
 
+    @frugal
     def run(batches):
         for b in batches:
             cols = list(b.columns)

@@ -62,24 +62,23 @@ _BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SE
 
 
 class _Known:
-    """Ids of chunks by the hash of their bytes."""
+    """Ids of chunks by the hash of their bytes, in sorted arrays: about 30 bytes a chunk."""
 
     def __init__(self):
-        self.place: dict[int, int] = {}
+        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def add(self, keys: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
-        n, m, at = len(self.place), len(self.place) + len(keys), self.used
+    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Sorted new keys."""
+        at = self.used
         while len(self.flat) < at + len(ids):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.start) < m:
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         self.flat[at : at + len(ids)] = ids
-        self.size[n:m] = sizes
-        self.start[n:m] = at + np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(keys) else 0
         self.used = at + len(ids)
-        self.place.update(zip(keys, range(n, m), strict=True))
+        place = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, place, keys)
+        self.size = np.insert(self.size, place, sizes)
+        self.start = np.insert(self.start, place, at + np.cumsum(sizes) - sizes)
 
 
 def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -140,18 +139,20 @@ class ChunkEncoder:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         return sizes, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
 
-    def _resolve(self, keys: list[int], chunk) -> np.ndarray:
-        """Places in self.young of the distinct keys; chunk(k) is the text of the k-th."""
-        if len(self.young.place) + len(keys) > self.capacity:
+    def _resolve(self, keys: np.ndarray, chunk) -> tuple[np.ndarray, np.ndarray]:
+        """(size, start in self.young.flat) of the ids of sorted distinct keys; chunk(k) is the text of the k-th."""
+        if len(self.young.keys) + len(keys) > self.capacity:
             self.young, self.old = _Known(), self.young
-        new = [k for k, h in enumerate(keys) if h not in self.young.place]
-        again = [k for k in new if keys[k] in self.old.place]
-        if again:
-            at = np.array([self.old.place[keys[k]] for k in again])
-            self.young.add([keys[k] for k in again], self.old.size[at], _gather(self.old.flat, self.old.start[at], self.old.size[at]))
-        new = [k for k in new if keys[k] not in self.old.place]
-        self.young.add([keys[k] for k in new], *self._tokens([chunk(k) for k in new]))
-        return np.fromiter(map(self.young.place.__getitem__, keys), np.int64, len(keys))
+        new = np.flatnonzero(~K.find_sorted(self.young.keys, keys)[1])
+        at, again = K.find_sorted(self.old.keys, keys[new])
+        if again.any():
+            sizes = self.old.size[at[again]]
+            self.young.add(keys[new[again]], sizes, _gather(self.old.flat, self.old.start[at[again]], sizes))
+        new = new[~again]
+        if len(new):
+            self.young.add(keys[new], *self._tokens([chunk(k) for k in new.tolist()]))
+        at = K.find_sorted(self.young.keys, keys)[0]
+        return self.young.size[at], self.young.start[at]
 
     def encode_bytes(self, data: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end_id; each text's end) of UTF-8 bytes and offsets from 0."""
@@ -177,9 +178,9 @@ class ChunkEncoder:
         found, first, where = np.unique(hashes[short], return_index=True, return_inverse=True)
         spans, raw = np.flatnonzero(short)[first], low.tobytes()
         lo, hi = start[spans].tolist(), end[spans].tolist()
-        place = self._resolve(found.tolist(), lambda k: raw[lo[k] : hi[k]].decode())[where]
+        sizes, starts = self._resolve(found, lambda k: raw[lo[k] : hi[k]].decode())
         chunk_size, chunk_start = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
-        chunk_size[short], chunk_start[short] = self.young.size[place], self.young.start[place]
+        chunk_size[short], chunk_start[short] = sizes[where], starts[where]
         source = self.young.flat[: self.young.used]
         if not short.all():
             sizes, more = self._tokens([raw[start[k] : end[k]].decode() for k in np.flatnonzero(~short)])
@@ -212,6 +213,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer_path: str, text_col: s
     n = docs.count()
     shards = max(1, min(-(-n // per_shard), 1 << 16))
 
+    @K.frugal
     def run(batches):
         enc, shard, block, first = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
         bits = bits_for(max(enc.vocabulary, end_id + 1))
@@ -241,6 +243,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 def map_documents(spark: SparkSession, path: str, each: Callable[[np.ndarray], object], kind: pa.DataType, sql_kind: str) -> DataFrame:
     """doc_id, start, n_tokens and value = each(ids), read back from the files."""
 
+    @K.frugal
     def run(batches):
         for b in batches:
             rows = b.to_pydict()
