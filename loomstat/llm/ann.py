@@ -135,7 +135,7 @@ def distinct_vectors(rows: DataFrame, ids: int, split: int = 32) -> DataFrame:
     return some.groupBy("key", "v").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, ids).alias("ids"))
 
 
-def build_index(distinct: DataFrame, *, shard_size: int = 2048, links: int = 12, breadth: int = 64) -> DataFrame:
+def build_index(distinct: DataFrame, *, shard_size: int = 8192, links: int = 12, breadth: int = 64) -> DataFrame:
     n = distinct.count()
     shards = max(1, round(n / shard_size))
 
@@ -174,7 +174,7 @@ def search_index(index: DataFrame, queries: DataFrame, *, k: int, breadth: int,
     return sent.join(index, ["shard", "dim"]).mapInPandas(run, "qkey long, key long, score double")
 
 
-def nearest(vectors: DataFrame, *, every: int = 100, k: int = 10, shard_size: int = 2048, links: int = 12, breadth: int = 64, search_breadth: int = 128) -> DataFrame:
+def nearest(vectors: DataFrame, *, every: int = 100, k: int = 10, shard_size: int = 8192, links: int = 12, breadth: int = 64, search_breadth: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose vec_id is divisible by `every`."""
     rows = usable(vectors)
     distinct = materialize(distinct_vectors(rows, k + 1), "vectors")

@@ -69,5 +69,29 @@ def queries() -> dict:
     return {f.__name__: f for f in own}
 
 
+#: Words of a text: runs of lower-cased A-Z, digits and other than ASCII characters.
+_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+#: Windows are met by words and place: a document's windows are taken only where a window's first words (three, or all of fewer) stand.
+_OP4 = f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+wins AS (SELECT DISTINCT item, w[i : i + 9] AS win FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+lens AS (SELECT least(len(win), 3) AS k, array_to_string(win[1 : 3], ' ') AS head, len(win) AS n FROM wins GROUP BY 1, 2, 3),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+heads AS (SELECT r, i, k, array_to_string(w[i : i + k - 1], ' ') AS head FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM docs), (SELECT DISTINCT k FROM lens) WHERE i + k - 1 <= len(w)),
+found AS (SELECT h.r, h.i, l.n FROM heads h JOIN lens l USING (k, head)),
+places AS (SELECT f.r, f.i, f.n, d.w[f.i : f.i + f.n - 1] AS win FROM found f JOIN docs d USING (r) WHERE f.i + f.n - 1 <= len(d.w)),
+hits AS (SELECT p.r, p.i, p.n, x.item FROM places p JOIN wins x USING (win)),
+spans AS (SELECT DISTINCT r, i, i + n AS e FROM hits),
+reach AS (SELECT r, i, e, coalesce(max(e) OVER (PARTITION BY r ORDER BY i, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS z FROM spans),
+cover AS (SELECT r, CAST(sum(greatest(e - greatest(i, z), 0)) AS BIGINT) AS n_hit FROM reach GROUP BY r),
+named AS (SELECT r, list_sort(list_distinct(list(item))) AS ids FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN cover USING (r) LEFT JOIN named USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query; the others are tested against brute force."""
+    return {"op4_decontaminate": " ".join(_OP4.split())}

@@ -1,16 +1,21 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads.
 
 The ring has 2**bits cells. Each shard owns `vnodes` cells; a document's key
-(its text, so that equal texts keep together) hashes to a cell and belongs to
-the arc that ends in the next virtual node clockwise. A shard takes the keys
-of its own arcs up to its bound; what overflows goes on clockwise to the next
-virtual nodes whose shards have room. With load_factor 1 the bounds add up to
-the number of rows, so shards' counts differ by one at most (law `rows`).
+is its text, which hashes to a cell and belongs to the arc that ends in the
+next virtual node clockwise: equal texts have one home shard. A shard takes
+the keys of its own arcs up to its bound; what overflows goes on clockwise to
+the next virtual nodes whose shards have room. With load_factor 1 the bounds
+add up to the number of rows, so shards' counts differ by one at most (law
+`rows`); rows of a group of equal texts that its home shard has no room for
+move on like any others, and a group larger than a shard must be split. With
+a load_factor above 1 (law `bounded`) only what is above that share of the
+mean moves, and adding a shard moves few rows beside those it takes.
 
 Arcs, not keys, pass through the driver: vnodes x shards x `split` counts, a
 number fixed by the parameters. A hot text's arc is cut in `split` parts, so
 no task ranks more than its share. Null text hashes as the empty one and
-counts no bytes; equal rows get slots of their own.
+counts no bytes; equal rows get slots of their own; null ids are kept. Other
+columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import combinations, pairwise, product
 
 import numpy as np
 import pytest
@@ -112,39 +112,11 @@ def test_tree():
 # ---- 2 line dedup
 
 
-def brute_lines(texts, least=50):
-    first, cut = {}, defaultdict(set)
-    for k, t in enumerate(texts):
-        lines = [(i, x, len(SPACES.findall(x))) for i, x in enumerate((t or "").split("\n"))]
-        lines = [x for x in lines if x[2]]
-        for a in range(len(lines)):
-            n, b = 0, a
-            while b < len(lines) and n < least:
-                n += lines[b][2]
-                b += 1
-            if n < least:
-                break
-            key = tuple(x[1] for x in lines[a:b])
-            lo, hi = lines[a][0], lines[b - 1][0]
-            if key in first:
-                k0, hi0 = first[key]
-                cut[k] |= set(range(max(lo, hi0 + 1) if k0 == k else lo, hi + 1))
-            else:
-                first[key] = (k, hi)
-    return [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in cut[k]) for k, t in enumerate(texts)]
-
-
-def test_lines(spark, docs, data):
-    d = docs.sort_values("doc_id")
-    out = queries.op2_line_dedup(spark, data).toPandas().sort_values("doc_id")
-    assert out["text"].tolist() == brute_lines(d["text"].tolist())
-
-
 def test_lines_edges(spark, odd, none):
     long = " ".join(f"word{i}" for i in range(60))
     texts = [f"head\n{long}\nmid", f"a\n{long}\nb", "\n".join(["same line here"] * 40), f"{long}", None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert [r["text"] for r in sorted(rows(line_dedup.dedup_lines(df)), key=lambda r: r["doc_id"])] == brute_lines(texts)
+    assert [r["text"] for r in sorted(rows(line_dedup.dedup_lines(df)), key=lambda r: r["doc_id"])] == brute_runs(texts)
     out = rows(line_dedup.dedup_lines(odd))
     assert len(out) == len(ODD) and {r["text"] for r in out if r["doc_id"] == 4} == {ODD[3][1]}
     assert line_dedup.dedup_lines(none).count() == 0
@@ -258,6 +230,19 @@ def test_hits(spark, data, docs):
     assert [tuple(r[k] for k in KEYS) for r in out] == want and any(w[4] for w in want)
 
 
+def test_hits_sql(spark, odd):
+    """The query's SQL on odd rows and items shorter than a window."""
+    import duckdb
+    import pandas as pd
+
+    items = [(1, "Two, three"), (2, None), (3, ""), (4, " ".join(f"w{i}x" for i in range(40, 55))), (5, "two three!"), (6, "été"), (7, "one two three four five six seven eight nine ten eleven")]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(d[0], d[1]) for d in ODD], columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    got = con.execute(f"SELECT doc_id, {', '.join(KEYS)} FROM ({queries.oracle_sql()['op4_decontaminate']})").fetchall()
+    assert Counter(got) == Counter((d[0], *h) for d, h in zip(ODD, brute_hits([d[1] for d in ODD], items), strict=True))
+
+
 @pytest.mark.parametrize("most", [0, 1000])
 def test_hits_edges(spark, odd, none, most):
     items = [(1, "Two, three"), (2, None), (3, ""), (4, " ".join(f"w{i}x" for i in range(40, 55))), (5, "two three!"), (6, "été"), (7, "one two three four five six seven eight nine ten eleven")]
@@ -378,7 +363,19 @@ def test_hmm_exact(spark, odd):
     assert np.allclose(hmm.forward(sym, at, pi, A, B), [path_sum(s) for s in seqs])
     emit, flow, first, ll = hmm.expected_counts(sym, at, pi, A, B)
     assert np.isclose(emit.sum(), len(sym)) and np.isclose(flow.sum(), len(sym) - len(seqs)) and np.isclose(first.sum(), len(seqs))
-    assert hmm.cut(np.array([0, 3, 10]), 4).tolist() == [0, 3, 7, 10]
+    # against sums over all paths of the longest sequence
+    s, want_flow, want_emit, total = seqs[0], np.zeros((K, K)), np.zeros((S, K)), 0.0
+    for path in product(range(K), repeat=len(s)):
+        p = pi[path[0]] * np.prod([B[x, z] for x, z in zip(s, path, strict=True)]) * np.prod([A[a, b] for a, b in pairwise(path)])
+        total += p
+        for a, b in pairwise(path):
+            want_flow[a, b] += p
+        for x, z in zip(s, path, strict=True):
+            want_emit[x, z] += p
+    emit, flow, _, ll = hmm.expected_counts(s, np.array([0, len(s)]), pi, A, B)
+    assert np.isclose(ll, math.log10(total)) and np.allclose(flow, want_flow / total, atol=1e-6) and np.allclose(emit, want_emit / total, atol=1e-6)
+    clash = odd.withColumns({"score": F.lit(1), "n_known": F.lit(2)})
+    assert hmm.score(hmm.fit(odd, symbols=64), clash.drop("size")).select("score", "n_known").count() == len(ODD)
     model = hmm.fit(odd, iterations=4, symbols=64)
     assert model.log[-1] > model.log[0]
     full = {r["doc_id"]: r for r in rows(hmm.score(model, odd.select("doc_id", "text")))}
@@ -507,6 +504,12 @@ def test_ring_edges(spark, odd, none):
     assert ring.shard_documents(none).count() == 0
     loose = ring.shard_documents(hot, shards=7, load_factor=1.25).toPandas()
     assert loose.groupby("shard").size().max() <= math.ceil(3000 * 1.25 / 7)
+    flat = spark.createDataFrame([(i, f"text {i}") for i in range(4000)], "doc_id long, text string")
+    one, two = (ring.shard_documents(flat, shards=k, load_factor=1.25).toPandas().set_index("doc_id")["shard"] for k in (24, 25))
+    moved = one[one != two.reindex(one.index)]
+    assert len(moved) < 0.09 * 4000 and (two[moved.index] == 24).mean() > 0.5  # the ideal is 4 %, all into the new shard
+    home = ring.shard_documents(hot, shards=7, load_factor=8).toPandas()
+    assert (home["shard"] == home["home_shard"]).all() and home[home["text_crc32"] == zlib.crc32(b"copy")]["shard"].nunique() == 1
     owners, arcs = ring.ring_cells(5, 8, 10, 1)
     flows = ring.bounded_flows([10] * 40, owners, [80] * 5)
     assert all(sum(n for _, n in f) == 10 for f in flows) and len(arcs) == 1024
