@@ -4,7 +4,7 @@ All work on DataFrames with explicit feature columns: `fit(df)` learns a
 small state, `transform(df)` adds `score`, `label` or predicted columns and
 keeps every other column. Statistics that aggregates can express cover all
 rows. Models that need rows in memory (neighbours, trees, kernels) fit on at
-most `max_train` training rows, chosen by a hash of the features, and score
+most `max_train` training rows, chosen by a hash of whole rows, and score
 in Arrow batches against the broadcast state.
 """
 
@@ -382,9 +382,10 @@ class ModelScorer(Operator):
     max_train = 20_000
 
     def _fit(self, df):
-        rows = df.select(*[_num(c).alias(c) for c in self.features])
-        if rows.count() > self.max_train:
-            rows = rows.orderBy(F.xxhash64(*self.features)).limit(self.max_train)
+        rows = df
+        if df.count() > self.max_train:  # by whole rows, so that rows that share their features aren't taken or left together
+            rows = df.orderBy(F.xxhash64(F.lit(3), *df.columns)).limit(self.max_train)
+        rows = rows.select(*[_num(c).alias(c) for c in self.features])
         x = rows.toPandas().to_numpy(float)
         x = x[np.lexsort(x.T[::-1])]
         return type(self).fit_rows(x, np.random.default_rng(self.config.get("random_state") or 0), **{k: v for k, v in self.config.items() if k != "random_state"})

@@ -81,7 +81,7 @@ class RidgeForecaster:
 class BoostedForecaster:
     """Gradient-boosted trees on windows. direct: a model for each step; MIMO: the step is a feature of one model."""
 
-    def __init__(self, target: str, inputs: list[str] = (), seq_len: int = 24, pred_len: int = 4, strategy: str = "direct", max_depth: int = 4, learning_rate: float = 0.05, n_estimators: int = 20, min_child: int = 20, train_ratio: float = 0.8, seed: int = 42):
+    def __init__(self, target: str, inputs: list[str] = (), seq_len: int = 96, pred_len: int = 24, strategy: str = "direct", max_depth: int = 4, learning_rate: float = 0.05, n_estimators: int = 200, min_child: int = 20, train_ratio: float = 0.8, seed: int = 42):
         self.target, self.columns, self.seq_len, self.pred_len, self.strategy = target, list(dict.fromkeys([target, *inputs])), seq_len, pred_len, strategy
         self.options, self.train_ratio, self.models = {"maxDepth": max_depth, "stepSize": learning_rate, "maxIter": n_estimators, "minInstancesPerNode": min_child, "seed": seed}, train_ratio, None
 

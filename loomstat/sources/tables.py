@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +38,14 @@ def write_result(values: dict, path: str) -> None:
         Path(path).write_text(json.dumps(values, default=str, indent=1))
 
 
+#: Strings, or comments of either kind.
+_COMMENT = re.compile(r"""("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|//[^\n]*|/\*.*?\*/""", re.DOTALL)
+
+
 def load_config(path: str) -> dict:
     text = Path(path).read_text()
+    if Path(path).suffix == ".json5":
+        text = _COMMENT.sub(lambda m: m[1] or "", text)
     if Path(path).suffix in (".yml", ".yaml", ".json5"):
         import yaml
 
