@@ -244,7 +244,7 @@ def near_duplicates(
             edges = None if edges.isEmpty() else edges
         else:
             large = live.where(F.col("size") > small)
-            lead = large.select("key", F.explode("pivots").alias("p")).select("key", "p.rep", "p.label").distinct()
+            lead = large.select("key", "pivots").dropDuplicates(["key"]).select("key", F.explode("pivots").alias("p")).select("key", "p.rep", "p.label")
             full = [x.select("key", "rep", "label").join(reps, "rep") for x in (live.where(F.col("size") <= small), large, lead)]
             pairs = small_pairs(full[0], percent, least).union(pivot_pairs(full[1], full[2], percent, least)).distinct()
             edges = confirm(pairs, reps, known, percent=percent, **options)
