@@ -17,6 +17,8 @@ from loomstat.llm import decontaminate, langid, mixing, near_dup, token_bin
 from loomstat.llm.common import scratch_path, table
 from loomstat.llm.queries import _fold, tokenizer_path
 
+#: Near copies share this many percent of their five-word shingles or more.
+NEAR_PERCENT = 80
 #: Natural text codes at 2 to 4 bits a byte, random bytes at 6 to 8.
 MAX_BITS = 6.5
 
@@ -28,7 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dup.keep_one(docs).select(*docs.columns)
+    return near_dup.keep_one(docs, percent=NEAR_PERCENT).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
