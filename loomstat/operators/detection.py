@@ -3,9 +3,11 @@
 All work on DataFrames with explicit feature columns: `fit(df)` learns a
 small state, `transform(df)` adds `score`, `label` or predicted columns and
 keeps every other column. Statistics that aggregates can express cover all
-rows. Models that need rows in memory (neighbours, trees, kernels) fit on at
-most `max_train` training rows, chosen by a hash of whole rows, and score
-in Arrow batches against the broadcast state.
+rows. Neighbour models and densities (k-NN, LOF, ABOD, COF, KDE) are exact at
+any size: up to `max_train` training rows are broadcast, more are compared in
+blocks, with the same scores. The other models that need rows in memory fit on
+at most `max_train` training rows, chosen by a hash of whole rows, and score in
+Arrow batches against the broadcast state.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import detector_kernels as N
+from . import neighbours as B
 from . import ordered as O
 from .linear import moments
 
@@ -375,15 +378,20 @@ class HbosScorer(Operator):
 
 
 class ModelScorer(Operator):
-    """fit_rows(matrix, rng, **config) -> state; score_rows(state, matrix) -> scores."""
+    """fit_rows(matrix, rng, **config) -> state; score_rows(state, matrix) -> scores; in_blocks: the same for larger tables."""
 
     fit_rows: Callable = None
     score_rows: Callable = None
+    in_blocks: tuple[Callable, Callable] | None = None
     max_train = 20_000
 
     def _fit(self, df):
         rows = df
-        if df.count() > self.max_train:  # by whole rows, so that rows that share their features aren't taken or left together
+        many = df.count() > self.max_train
+        if many and self.in_blocks:
+            train = B.vectors(df, self.features).cache()
+            return {"train": train, "blocks": self.in_blocks[0](train, self.config)}
+        if many:  # by whole rows, so that rows that share their features aren't taken or left together
             rows = df.orderBy(F.xxhash64(F.lit(3), *df.columns)).limit(self.max_train)
         rows = rows.select(*[_num(c).alias(c) for c in self.features])
         x = rows.toPandas().to_numpy(float)
@@ -392,6 +400,10 @@ class ModelScorer(Operator):
 
     def _transform(self, df):
         cols, state, score = self.features, self.state, type(self).score_rows
+        if self.in_blocks and "blocks" in state:
+            asks = B.vectors(df, cols).select("x")
+            scores = self.in_blocks[1](state["blocks"], asks, state["train"], self.config).select(F.col("x").alias("__x"), "score")
+            return df.drop("score").withColumn("__x", B.vector(cols)).join(scores, "__x", "left").drop("__x")
         out = df.withColumn("score", F.lit(0.0))
         kept = out.columns
         sent = df.sparkSession.sparkContext.broadcast(state)  # bounded by max_train
@@ -429,7 +441,7 @@ class TransductiveScorer(Operator):
 
 SCORERS: dict[str, type[Operator]] = {"zscore": ZScoreScorer, "pca": PcaScorer, "ecod": EcodScorer, "copod": CopodScorer, "hbos": HbosScorer}
 for _name, (_fit, _score, _defaults) in N.MODELS.items():
-    SCORERS[_name] = type(f"{_name.title()}Scorer", (ModelScorer,), {"fit_rows": staticmethod(_fit), "score_rows": staticmethod(_score), "defaults": _defaults})
+    SCORERS[_name] = type(f"{_name.title()}Scorer", (ModelScorer,), {"fit_rows": staticmethod(_fit), "score_rows": staticmethod(_score), "defaults": _defaults, "in_blocks": B.MODELS.get(_name)})
 for _name, (_score, _defaults) in N.TRANSDUCTIVE.items():
     SCORERS[_name] = type(f"{_name.title()}Scorer", (TransductiveScorer,), {"score_rows": staticmethod(_score), "defaults": _defaults | {"series": ()}})
 

@@ -50,23 +50,24 @@ def lof_score(s, x):
     return s["lrd"][at].mean(1) / lrd
 
 
+def angle_spread(v, k):
+    """Negative variance of the angles between the first k vectors that aren't 0, weighted by their lengths."""
+    v = v[(v * v).sum(1) > 0][:k]
+    if len(v) < 2:
+        return 0.0
+    sq = (v * v).sum(1)
+    a, b = np.triu_indices(len(v), 1)
+    return -np.var((v[a] * v[b]).sum(1) / (sq[a] * sq[b]))
+
+
 def abod_score(s, x):
-    """Negative variance of the angles to pairs of neighbours, weighted by distances."""
+    """The angle spread of each row's neighbours."""
     k = s["n_neighbors"]
     _, at = nearest(x, s["x"], k + 1)
-    out = np.zeros(len(x))
-    for i, row in enumerate(x):
-        v = s["x"][at[i]] - row
-        v = v[(v * v).sum(1) > 0][:k]
-        if len(v) < 2:
-            continue
-        sq = (v * v).sum(1)
-        a, b = np.triu_indices(len(v), 1)
-        out[i] = -np.var((v[a] * v[b]).sum(1) / (sq[a] * sq[b]))
-    return out
+    return np.array([angle_spread(s["x"][i] - row, k) for i, row in zip(at, x, strict=True)])
 
 
-def _chain(p):
+def chain(p):
     """Average chaining distance from row 0 of p."""
     n = len(p)
     if n < 2:
@@ -84,12 +85,12 @@ def _chain(p):
 def cof_fit(x, rng, n_neighbors=20, **_):
     k = max(1, min(n_neighbors, len(x) - 1))
     _, at = nearest(x, x, k, skip_self=True)
-    return {"x": x, "k": k, "ac": np.array([_chain(np.vstack([x[i], x[at[i]]])) for i in range(len(x))])}
+    return {"x": x, "k": k, "ac": np.array([chain(np.vstack([x[i], x[at[i]]])) for i in range(len(x))])}
 
 
 def cof_score(s, x):
     _, at = nearest(x, s["x"], s["k"])
-    own = np.array([_chain(np.vstack([x[i], s["x"][at[i]]])) for i in range(len(x))])
+    own = np.array([chain(np.vstack([x[i], s["x"][at[i]]])) for i in range(len(x))])
     return own / np.maximum(s["ac"][at].mean(1), 1e-10)
 
 

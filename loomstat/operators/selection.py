@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linear import moments
+from .ordered import running_sums
 
 
 def column_selector(df: DataFrame, columns: list[str | int] | None = None) -> tuple[DataFrame, list[int]]:
@@ -38,35 +39,43 @@ def ks_table(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     return at.withColumn("g", gap).groupBy("feature").agg(F.max("g").alias("ks"))
 
 
-def _sample(df: DataFrame, columns: list[str], label: str, rows: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-    p = df.select(*columns, label).orderBy(F.xxhash64(*columns, label)).limit(rows).toPandas().astype(float)
-    return p[columns].to_numpy(), p[label].to_numpy()
-
-
-def distance_correlation(x: np.ndarray, y: np.ndarray) -> float:
-    def centred(v):
-        d = np.abs(v[:, None] - v[None])
-        return d - d.mean(0) - d.mean(1)[:, None] + d.mean()
-
-    a, b = centred(x), centred(y)
-    v = np.sqrt((a * a).mean() * (b * b).mean())
-    return float(np.sqrt(max((a * b).mean(), 0) / v)) if v > 0 else 0.0
-
-
-def mean_variance_index(x: np.ndarray, y: np.ndarray) -> float:
-    """Cui, Li and Zhong: squared gaps of class distribution functions, averaged."""
-    order = np.sort(x)
-    f = np.searchsorted(order, x, "right") / len(x)
-    return float(sum((y == c).mean() * ((np.searchsorted(np.sort(x[y == c]), x, "right") / (y == c).sum() - f) ** 2).mean() for c in np.unique(y)))
+def screening_table(df: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """feature, ks, mv (mean-variance index), dcor (distance correlation) against a label of two values, over all rows.
+
+    All three follow from running counts and sums by class: with two classes the distance of labels is 0 or 1, and the sum of
+    distances from a value is a difference of prefix sums. Nulls of a feature or the label are left out.
+    """
+    top = df.agg(F.max(label), *[F.avg(F.col(c).cast("double")) for c in columns]).first()
+    pairs = [F.struct(F.lit(c).alias("feature"), (F.col(c).cast("double") - F.lit(m)).alias("v")) for c, m in zip(columns, top[1:], strict=True)]
+    long = df.where(F.col(label).isNotNull()).select((F.col(label) == F.lit(top[0])).cast("long").alias("y"), F.explode(F.array(*pairs)).alias("x")).select("y", "x.*").where("v is not null")
+    at = long.groupBy("feature", "v").agg(F.sum("y").alias("p"), F.count("y").alias("n")).withColumns({"ps": F.col("p") * F.col("v"), "ns": F.col("n") * F.col("v")})
+    at = running_sums(at, "v", ["p", "n", "ps", "ns"], ["feature"])
+    away = {c: F.col("v") * (2 * F.col(f"{c}_upto") - F.col(f"{c}_all")) - (2 * F.col(f"{c}s_upto") - F.col(f"{c}s_all")) for c in "pn"}
+    rows, ones = F.col("n_all").cast("double"), F.col("p_all").cast("double")
+    zeros = rows - ones
+    f1, f0, f = F.col("p_upto") / ones, (F.col("n_upto") - F.col("p_upto")) / zeros, F.col("n_upto") / rows
+    sums = {
+        "mv": F.col("n") * (ones / rows * F.pow(f1 - f, 2) + zeros / rows * F.pow(f0 - f, 2)) / rows,
+        "across": 2 * F.col("p") * (away["n"] - away["p"]) / rows / rows,
+        "dist": F.col("n") * away["n"] / rows / rows,
+        "both": away["n"] / rows * (F.col("p") * zeros + (F.col("n") - F.col("p")) * ones) / rows / rows,
+        "square": F.col("n") * F.pow(away["n"] / rows, 2) / rows,
+        "second": F.col("n") * F.pow("v", F.lit(2)) / rows,
+        "first": F.col("ns") / rows,
+    }
+    one = at.groupBy("feature").agg(F.max(F.abs(f1 - f0)).alias("ks"), *[F.sum(x).alias(c) for c, x in sums.items()], F.first(2 * ones * zeros / rows / rows).alias("label"))
+    cov = F.col("across") + F.col("dist") * F.col("label") - 2 * F.col("both")
+    var = 2 * (F.col("second") - F.pow("first", F.lit(2))) + F.pow("dist", F.lit(2)) - 2 * F.col("square")
+    dcor = F.when((var > 1e-12 * F.col("second")) & (F.col("label") > 0), F.sqrt(F.greatest(cov, F.lit(0.0)) / (F.sqrt(var) * F.col("label")))).otherwise(0.0)
+    return one.select("feature", "ks", "mv", dcor.alias("dcor"))
 
 
 def sis_filter(df: DataFrame, columns: list[str], label: str, threshold: float = 0.05) -> list[str]:
-    """Columns with max(distance correlation, MV index, KS) above threshold; not binary: all. KS covers all rows, the others 2,000."""
+    """Columns with max(distance correlation, MV index, KS) above threshold, over all rows; not binary: all."""
     if df.select(label).distinct().limit(3).count() != 2:
         return list(columns)
-    ks = {r["feature"]: r["ks"] or 0.0 for r in ks_table(df, columns, label).collect()}
-    x, y = _sample(df, columns, label)
-    return [c for i, c in enumerate(columns) if max(ks[c], distance_correlation(x[:, i], y), mean_variance_index(x[:, i], y)) > threshold]
+    best = {r["feature"]: max(r["ks"] or 0.0, r["mv"] or 0.0, r["dcor"]) for r in screening_table(df, columns, label).collect()}
+    return [c for c in columns if best.get(c, 0.0) > threshold]
 
 
 def greedy_order(cov: np.ndarray, target: np.ndarray, k: int) -> list[int]:
