@@ -22,7 +22,7 @@ def test_stages(spark, data):
             gone = before[~before["doc_id"].isin(after["doc_id"])]
             assert all(not any(c.isalpha() for c in t or "") for t in gone["text"])
         elif name == "near_dedup":
-            want = brute_near(zip(before["doc_id"], before["text"], strict=True))
+            want = brute_near(zip(before["doc_id"], before["text"], strict=True), corpus_pipeline.NEAR_PERCENT)
             assert set(after["doc_id"]) == {i for i, x in want.items() if x[2]}
         elif name == "decontamination":
             items = [(r["item_id"], r["text"]) for r in table(spark, data, "benchmark").collect()]
