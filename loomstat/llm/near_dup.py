@@ -120,6 +120,13 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(f"{x}.rep", f"{y}.rep").alias("a"), F.greatest(f"{x}.rep", f"{y}.rep").alias("b")]
 
 
+def by_class(nodes: DataFrame, reps: DataFrame) -> DataFrame:
+    """nodes (rep, label, key and others) and what reps holds of each class; a class in many nodes is looked up once."""
+    others = [c for c in nodes.columns if c not in ("rep", "label")]
+    held = nodes.groupBy("rep").agg(F.first("label").alias("label"), F.collect_list(F.struct(*others)).alias("__nodes"))
+    return held.join(reps, "rep").withColumn("__e", F.explode("__nodes")).select("rep", "label", *[c for c in reps.columns if c != "rep"], "__e.*")
+
+
 def small_pairs(nodes: DataFrame, percent: int, least: int) -> DataFrame:
     """Likely pairs within nodes of bounded size."""
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & likely("x", "y", percent, least)
@@ -189,17 +196,18 @@ def link_block(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 def block_links(live: DataFrame, reps: DataFrame, docs: DataFrame, *, percent: int, block: int, block_shingles: int, **options) -> DataFrame:
     """Links within nodes of any size, in blocks: what is outside the main component of a node meets the whole node."""
-    held = live.groupBy("rep").agg(F.collect_set("key").alias("keys"))
-    sized = live.join(reps.select("rep", "n"), "rep")
+    sized = by_class(live.select("key", "rep", "label", "main"), reps.select("rep", "n"))
     parts = sized.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("wp"), F.greatest(F.ceil(F.sum((F.col("label") != F.col("main")).cast("int")) / block), F.ceil(F.sum(F.when(F.col("label") != F.col("main"), F.col("n"))) / block_shingles), F.lit(1)).cast("int").alias("op"))
-    sets = sets_of(live.where("label <> main").select("rep").union(live.select("rep")).distinct(), reps, docs, **options)
-    rows = materialize(sized.join(held, "rep").join(parts, "key"), "blocks").withColumn("main", (F.col("label") == F.col("main")).cast("int")).where("op > 0 and wp > 0")
+    sets = sets_of(live.select("rep").distinct(), reps, docs, **options)
+    # a class in many nodes is one row, joined once with its set
+    held = live.select("key", "rep", "label", (F.col("label") == F.col("main")).cast("int").alias("main")).join(parts, "key").groupBy("rep").agg(F.first("label").alias("label"), F.collect_list(F.struct("key", "main", "op", "wp")).alias("nodes"))
+    rows = materialize(held, "blocks").join(sets, "rep").select("rep", "label", "s", F.col("nodes")["key"].alias("keys"), F.explode("nodes").alias("e")).select("rep", "label", "s", "keys", "e.*")
     own = lambda p: F.pmod(F.xxhash64("rep"), F.col(p)).cast("int")
     every = lambda p: F.explode(F.sequence(F.lit(0), F.col(p) - 1))
-    cols = ["key", "i", "j", "side", "rep", "label", "main", "keys"]
+    cols = ["key", "i", "j", "side", "rep", "label", "main", "keys", "s"]
     whole = rows.withColumn("j", own("wp")).withColumn("i", every("op")).withColumn("side", F.lit(0)).select(*cols)
     others = rows.where("main = 0").withColumn("i", own("op")).withColumn("j", every("wp")).withColumn("side", F.lit(1)).select(*cols)
-    return whole.union(others).join(sets, "rep").groupBy("key", "i", "j").applyInPandas(lambda pdf: link_block(pdf, percent), "a long, b long").distinct()
+    return whole.union(others).groupBy("key", "i", "j").applyInPandas(lambda pdf: link_block(pdf, percent), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -245,7 +253,7 @@ def near_duplicates(
         else:
             large = live.where(F.col("size") > small)
             lead = large.select("key", "pivots").dropDuplicates(["key"]).select("key", F.explode("pivots").alias("p")).select("key", "p.rep", "p.label")
-            full = [x.select("key", "rep", "label").join(reps, "rep") for x in (live.where(F.col("size") <= small), large, lead)]
+            full = [by_class(x.select("key", "rep", "label"), reps.drop("doc")) for x in (live.where(F.col("size") <= small), large, lead)]
             pairs = small_pairs(full[0], percent, least).union(pivot_pairs(full[1], full[2], percent, least)).distinct()
             edges = confirm(pairs, reps, known, percent=percent, **options)
         if edges is not None:
@@ -256,7 +264,7 @@ def near_duplicates(
         nodes = large.select("key", "rep")
         if depth < max_depth:
             child = [F.pmod(F.xxhash64("key", F.lit(j)), F.lit(sketch)).cast("int") for j in range(BRANCH)]
-            nodes = nodes.join(reps, "rep").select("rep", F.explode(F.array(*[F.xxhash64("key", c, F.get("mh", c)) for c in child])).alias("key"))
+            nodes = by_class(large.select("key", "rep", "label"), reps.drop("doc")).select("rep", F.explode(F.array(*[F.xxhash64("key", c, F.get("mh", c)) for c in child])).alias("key"))
     # a class' component is named by the smallest doc_id of its classes
     named = reps.select("rep", F.col("doc").alias("component_id"))
     if labels is not None:

@@ -307,6 +307,20 @@ def test_near_groups(spark):
         assert out == want
 
 
+def test_near_sets_once(spark, monkeypatch):
+    """In the last step a class is one row, joined once with its set, however many nodes hold it."""
+    rng = np.random.default_rng(4)
+    base = [f"t{k}" for k in range(80)]
+    texts = [" ".join(f"x{i}" if k in at else w for k, w in enumerate(base)) for i, at in enumerate(rng.integers(0, 80, (60, 2)).tolist())]
+    made, keep = {}, near_dup.materialize
+    monkeypatch.setattr(near_dup, "materialize", lambda df, name="table": made.setdefault(name, []).append(keep(df, name)) or made[name][-1])
+    out = near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), small=4, max_depth=1, block=20)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows(out)} == brute_near(enumerate(texts))
+    blocks = [r["rep"] for r in made["blocks"][0].select("rep").collect()]
+    assert len(blocks) == len(set(blocks)) and len(made["nodes"][-1].collect()) > len(blocks)
+
+
+
 def test_near_edges(spark, odd, none):
     out = {r["doc_id"]: r for r in rows(near_dup.near_duplicates(odd))}
     assert out[3]["component_id"] == out[4]["component_id"] == 3 and out[7]["component_id"] == 6 and out[None]["kept"] and out[1]["n_shingles"] == 0 and out[2]["kept"]
