@@ -4,7 +4,7 @@ All work on DataFrames with explicit feature columns: `fit(df)` learns a
 small state, `transform(df)` adds `score`, `label` or predicted columns and
 keeps every other column. Statistics that aggregates can express cover all
 rows. Neighbour models and densities (k-NN, LOF, ABOD, COF, KDE) are exact at
-any size: up to `max_train` training rows are broadcast, more are compared in
+any size, SOD too: up to `max_train` training rows are broadcast, more are compared in
 blocks, with the same scores. The other models that need rows in memory fit on
 at most `max_train` training rows, chosen by a hash of whole rows, and score in
 Arrow batches against the broadcast state.
@@ -423,10 +423,14 @@ class TransductiveScorer(Operator):
     defaults = {"series": ()}
     learns = False
     score_rows: Callable = None
+    in_blocks: Callable | None = None
 
     def _transform(self, df):
         cols, score = self.features, type(self).score_rows
         config = {k: v for k, v in self.config.items() if k != "series"}
+        if type(self).in_blocks and not self.config["series"]:
+            scores = type(self).in_blocks(B.vectors(df, cols).cache(), config).select(F.col("x").alias("__x"), "score")
+            return df.drop("score").withColumn("__x", B.vector(cols)).join(scores, "__x", "left").drop("__x")
         out = df.withColumn("score", F.lit(0.0))
 
         def run(p: pd.DataFrame) -> pd.DataFrame:
@@ -443,7 +447,7 @@ SCORERS: dict[str, type[Operator]] = {"zscore": ZScoreScorer, "pca": PcaScorer,
 for _name, (_fit, _score, _defaults) in N.MODELS.items():
     SCORERS[_name] = type(f"{_name.title()}Scorer", (ModelScorer,), {"fit_rows": staticmethod(_fit), "score_rows": staticmethod(_score), "defaults": _defaults, "in_blocks": B.MODELS.get(_name)})
 for _name, (_score, _defaults) in N.TRANSDUCTIVE.items():
-    SCORERS[_name] = type(f"{_name.title()}Scorer", (TransductiveScorer,), {"score_rows": staticmethod(_score), "defaults": _defaults | {"series": ()}})
+    SCORERS[_name] = type(f"{_name.title()}Scorer", (TransductiveScorer,), {"score_rows": staticmethod(_score), "defaults": _defaults | {"series": ()}, "in_blocks": staticmethod(B.TRANSDUCTIVE[_name]) if _name in B.TRANSDUCTIVE else None})
 
 
 # ---- composites

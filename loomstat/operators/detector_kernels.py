@@ -17,14 +17,22 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.nda
     return np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)) if a.shape[1] <= 8 else np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
 
 
+#: Distances held at once.
+AT_ONCE = 1 << 22
+
+
 def nearest(a, b, k, metric="euclidean", skip_self=False):
     """(distances, indices) of the k nearest rows of b; with skip_self row i of b is left out for row i of a."""
-    d = distances(a, b, metric)
-    if skip_self:
-        d[np.arange(len(a)), np.arange(len(a))] = np.inf
-    k = min(k, d.shape[1] - skip_self)
-    at = np.argsort(d, axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(d, at, 1), at
+    k = min(k, len(b) - skip_self)
+    near, at = np.empty((len(a), k)), np.empty((len(a), k), int)
+    step = max(1, AT_ONCE // max(1, len(b)))
+    for s in range(0, len(a), step):
+        d = distances(a[s : s + step], b, metric)
+        if skip_self:
+            d[np.arange(len(d)), s + np.arange(len(d))] = np.inf
+        at[s : s + step] = np.argsort(d, axis=1, kind="stable")[:, :k]
+        near[s : s + step] = np.take_along_axis(d, at[s : s + step], 1)
+    return near, at
 
 
 def _keep(x, rng, **config):
@@ -99,6 +107,12 @@ def sod_fit(x, rng, n_neighbors=20, ref_set=10, alpha=0.8, **_):
     return {"x": x, "k": k, "ref": min(ref_set, k), "alpha": alpha, "near": nearest(x, x, k, skip_self=True)[1]}
 
 
+def subspace_deviation(x, ref, alpha):
+    mean, var = ref.mean(0), ref.var(0)
+    low = var < alpha * var.mean()
+    return np.sqrt(((x - mean)[low] ** 2).sum() / low.sum()) if low.any() else 0.0
+
+
 def sod_score(s, x):
     """Deviation from the reference set (most shared neighbours) in the features where that set varies little."""
     _, at = nearest(x, s["x"], s["k"])
@@ -106,11 +120,7 @@ def sod_score(s, x):
     for i in range(len(x)):
         own = set(at[i].tolist())
         shared = [len(own & set(s["near"][j].tolist())) for j in at[i]]
-        ref = s["x"][at[i][np.argsort(-np.array(shared), kind="stable")[: s["ref"]]]]
-        mean, var = ref.mean(0), ref.var(0)
-        low = var < s["alpha"] * var.mean()
-        if low.any():
-            out[i] = np.sqrt(((x[i] - mean)[low] ** 2).sum() / low.sum())
+        out[i] = subspace_deviation(x[i], s["x"][at[i][np.argsort(-np.array(shared), kind="stable")[: s["ref"]]]], s["alpha"])
     return out
 
 
@@ -351,26 +361,49 @@ def mcd_score(s, x):
     return ((x - s["m"]) @ s["inv"] * (x - s["m"])).sum(1)
 
 
-def sos_score(x, perplexity=4.5, eps=1e-5, **_):
-    n = len(x)
-    if n < 2:
-        return np.zeros(n)
-    d = distances(x, x)
-    b = np.zeros((n, n))
-    want = math.log(perplexity)
-    for i in range(n):
-        e = np.delete(d[i], i)
+def sos_logs(a, own, x, w, perplexity=4.5, eps=1e-5):
+    """For each vector of x the sum, over the rows of a (own: the vectors they are, as indices of x), of log(1 - binding probability); w: rows of each vector.
+
+    A row's own vector counts with its other rows. Terms under exp(-100) of a row's largest are below the last digit of its sum.
+    """
+    out, want = np.zeros(len(x)), math.log(perplexity)
+    for row, i in zip(a, own, strict=True):
+        others = w.astype(float)
+        others[i] -= 1
+        d = distances(row[None], x)[0]
+        least = d[others > 0].min()
+        d = d - least
+        at = np.flatnonzero(others > 0)
         lo, hi, beta = 0.0, math.inf, 1.0
         for _ in range(5000):
-            a = np.exp(-(e - e.min()) * beta)
-            t = a.sum()
-            entropy = math.log(t) + beta * ((e - e.min()) * a).sum() / t
-            if abs(entropy - want) <= eps or (hi - lo) < 1e-300:
-                break
-            lo, hi = (beta, hi) if entropy > want else (lo, beta)
+            near = at[d[at] * beta <= 100]
+            e = d[near]
+            p = np.exp(-e * beta)
+            t = (p * others[near]).sum()
+            entropy = math.log(t) + beta * (e * p * others[near]).sum() / t
+            if abs(entropy - want) <= eps or (hi - lo) < 1e-300 or beta in (lo, hi) or entropy > want and (beta > 1e300 or not e.any()):
+                break  # the last: more nearest rows at one distance than the perplexity asks for share evenly
+            if entropy > want:
+                lo, at = beta, near
+            else:
+                hi = beta
             beta = beta * 2 if hi == math.inf else (lo + hi) / 2
-        b[i, np.arange(n) != i] = a / t
-    return np.prod(1 - b, axis=0)
+        many = np.full(len(near), float(w[i]))
+        many[near == i] -= 1
+        near, p, many = near[many > 0], p[many > 0], many[many > 0]
+        with np.errstate(divide="ignore"):
+            out[near] += many * np.log1p(-np.minimum(p / t, 1.0))
+    return out
+
+
+def sos_score(x, perplexity=4.5, eps=1e-5, **_):
+    """Rows with a missing or infinite value take no part and have no score."""
+    known = np.isfinite(x).all(1)
+    out = np.where(known, 0.0, np.nan)
+    if known.sum() > 1:
+        v, own, w = np.unique(x[known], axis=0, return_inverse=True, return_counts=True)
+        out[known] = np.exp(sos_logs(v, np.arange(len(v)), v, w, perplexity, eps))[own.ravel()]
+    return out
 
 
 def _rod3(x):

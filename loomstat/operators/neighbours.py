@@ -165,5 +165,72 @@ def kde_score(state, queries, train, c):
     return parts.select("x", (-(F.col("top") + F.log(total) - math.log(n) - d * math.log(h) - d / 2 * math.log(2 * math.pi))).alias("score"))
 
 
+def sod_fit(train, c):
+    k = max(1, min(c["n_neighbors"], (train.agg(F.sum("w")).first()[0] or 0) - 1))
+    near = nearest(train.select("x"), train, k, skip_self=True)
+    return {"k": k, "lists": near.select(F.col("x").alias("v"), F.transform("near", lambda e: F.xxhash64(e["v"])).alias("ids"), F.transform("near", lambda e: e["m"]).alias("ms")).cache()}
+
+
+def _shared(own: dict, mine: int, m: int, ids, ms) -> list[int]:
+    """How many of a row's neighbours (own: rows of each vector) each of m equal rows of vector `mine` has among its own."""
+    t = s = 0
+    for u, n in zip(ids, ms, strict=True):
+        if u == mine:
+            t = n
+        else:
+            s += min(own.get(u, 0), n)
+    # of its own vector a row has the first t other rows
+    return [s + (t if r >= t else min(m, t + 1) - 1) for r in range(m)]
+
+
+def sod_score(state, queries, train, c):
+    flat = nearest(queries, train, state["k"]).select("x", F.posexplode("near").alias("pos", "e")).select("x", "pos", F.col("e.v").alias("v"), "e.m")
+    parts = ["v", "m", "id", "ids", "ms"]
+    full = flat.join(state["lists"], "v").withColumn("id", F.xxhash64("v")).groupBy("x").agg(F.array_sort(F.collect_list(F.struct("pos", *parts))).alias("near"))
+    most, alpha = min(c["ref_set"], state["k"]), c["alpha"]
+
+    def one(x, v, m, i, ids, ms):
+        own = dict(zip(i, m, strict=True))
+        shared = np.concatenate([_shared(own, *z) for z in zip(i, m, ids, ms, strict=True)])
+        ref = np.repeat(np.stack(list(v)), m, axis=0)[np.argsort(-shared, kind="stable")[:most]]
+        return N.subspace_deviation(x, ref, alpha)
+
+    def run(batches):
+        for p in batches:
+            p["score"] = [one(*z) for z in zip(p["x"], *[p[n] for n in parts], strict=True)]
+            yield p[["x", "score"]]
+
+    return full.select("x", *[F.col("near")[n].alias(n) for n in parts]).mapInPandas(run, "x array<double>, score double")
+
+
+def sos_score(train, c):
+    """x, score of all vectors of train against each other: a task has its share of the rows and all distinct vectors."""
+    spark, d = train.sparkSession, len((train.first() or [[]])[0])
+    finite = F.forall("x", lambda v: F.abs(v) < math.inf)
+    held = train.where(finite).select(*[F.col("x")[j].alias(f"x{j}") for j in range(d)], "w").toPandas().to_numpy(float)
+    held = held[np.lexsort(held.T[::-1])]
+    x, w = held[:, :d], held[:, d]
+    if w.sum() < 2:
+        return train.where(finite).select("x", F.lit(0.0).alias("score"))
+    sent = spark.sparkContext.broadcast((x, w))
+
+    def run(batches):
+        x, w = sent.value
+        out = np.zeros(len(x))
+        for p in batches:
+            i = p["id"].to_numpy()
+            out += N.sos_logs(x[i], i, x, w, c["perplexity"], c["eps"])
+        some = np.flatnonzero(out)
+        for s in range(0, len(some), 1 << 14):
+            at = some[s : s + (1 << 14)]
+            yield pd.DataFrame({"x": list(x[at]), "t": out[at]})
+
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(len(x) / BLOCK))
+    logs = spark.range(0, len(x), 1, tasks).mapInPandas(run, "x array<double>, t double").groupBy("x").agg(F.sum("t").alias("t"))
+    return train.where(finite).select("x").join(logs, "x", "left").select("x", F.exp(F.coalesce("t", F.lit(0.0))).alias("score"))
+
+
 #: name: (fit(train, config) -> state, score(state, queries, train, config) -> x, score)
-MODELS = {"knn": (_keep, knn_score), "lof": (lof_fit, lof_score), "abod": (_keep, abod_score), "cof": (cof_fit, cof_score), "kde": (_keep, kde_score)}
+MODELS = {"knn": (_keep, knn_score), "lof": (lof_fit, lof_score), "abod": (_keep, abod_score), "cof": (cof_fit, cof_score), "kde": (_keep, kde_score), "sod": (sod_fit, sod_score)}
+#: name: score(train, config) -> x, score of each vector among all
+TRANSDUCTIVE = {"sos": sos_score}
