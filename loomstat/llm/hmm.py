@@ -10,9 +10,9 @@ and the distribution over known words, end and unknown sums to 1:
 
 Training: each partition runs the scaled forward-backward recursion over its
 documents, each from end to end, and adds up expected counts; these are summed
-over partitions, and the new parameters go out for the next iteration. Only
-the start values come from a bounded sample: k-means over the class histograms
-of the first 20,000 characters of `seeds` training documents.
+over partitions, and the new parameters go out for the next iteration. The
+start values come from all training documents too: the main axes of their
+places in a random projection part them into one group a state.
 Scoring: the scaled forward recursion over the whole text, exact.
 
 Word counts are looked up in a sorted table of at most `table_words` words
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import count_words, materialize
+from .common import materialize
 
 END = K.mix64(np.array([0x454E44], np.uint64))[0]
 
@@ -133,31 +133,62 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c"))
 
 
-def start_values(docs: DataFrame, text_col: str, prior: np.ndarray, states: int, symbols: int, seeds: int):
-    sample = docs.select("doc_id", F.substring(text_col, 1, 20_000).alias(text_col)).where(count_words(F.col(text_col)) > 5)
-    n = max(1, docs.count())
-    part = sample.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < min(1 << 20, max(1, 4 * seeds * (1 << 20) // n)))
-    texts = [r[0] for r in part.select(F.col(text_col), F.xxhash64(F.lit(5), "doc_id").alias("__o")).orderBy("__o").limit(seeds).collect()]
-    hist = np.zeros((len(texts), symbols + 2))
-    for k, t in enumerate(texts):
-        data, offs = K.string_buffers(pa.array([t]))
-        hist[k] = np.bincount(symbols_of(with_ends(*K.word_hashes(data, offs))[0], symbols), minlength=symbols + 2)
-    x = np.sqrt(hist / np.maximum(hist.sum(1, keepdims=True), 1))
-    centre = [0] if len(texts) else []
-    while len(centre) < min(states, len(texts)):
-        centre.append(int((x @ x[centre].T).max(1).argmin()))
-    group = np.zeros(len(texts), int)
-    mid = x[centre]
-    for _ in range(10):
-        if not len(mid):
-            break
-        group = (x @ mid.T).argmax(1)
-        mid = np.stack([x[group == g].mean(0) if (group == g).any() else mid[g] for g in range(len(mid))])
-        mid /= np.maximum(np.linalg.norm(mid, axis=1, keepdims=True), 1e-12)
-    B = np.empty((symbols + 2, states))
-    for k in range(states):
-        own = hist[group == k].sum(0) if len(texts) else np.zeros(symbols + 2)
-        B[:, k] = (own + 500 * prior) / (own.sum() + 500)
+def _summed(docs: DataFrame, text_col: str, add, shape: tuple[int, int], symbols: int) -> np.ndarray:
+    """The sum over all docs of add(classes of the tokens, offsets), arrays of `shape`."""
+
+    @K.frugal
+    def run(batches):
+        out = np.zeros(shape)
+        for b in batches:
+            for _, _, data, offs in K.slices(b.column(0)):
+                w, at = with_ends(*K.word_hashes(data, offs))
+                out += add(symbols_of(w, symbols), at)
+        some = np.flatnonzero(out.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(out[some, k]) for k in range(shape[1])]], names=["i", *cols])
+
+    cols = [f"v{k}" for k in range(shape[1])]
+    sums = docs.select(text_col).mapInArrow(run, "i long, " + ", ".join(f"{c} double" for c in cols)).groupBy("i").agg(*[F.sum(c).alias(c) for c in cols]).collect()  # shape[0] rows at most
+    out = np.zeros(shape)
+    for r in sums:
+        out[r["i"]] = [r[c] for c in cols]
+    return out
+
+
+def start_values(docs: DataFrame, text_col: str, prior: np.ndarray, states: int, symbols: int):
+    """Start values from all docs, each from end to end: a document belongs to the state of the main axis, and side of it, where its classes lie farthest out."""
+    spark, dim = docs.sparkSession.sparkContext, max(16, states)
+    signs = np.random.default_rng(5).choice([-1.0, 1.0], (symbols + 2, dim))
+    sent = spark.broadcast((signs * (np.maximum(prior, 1e-12) ** -0.25)[:, None]).astype(np.float32))
+
+    def places(sym, at):  # mean place of each text's tokens
+        x = np.empty((len(at) - 1, dim))
+        step = 1 << 18
+        total = np.zeros((1, dim))
+        run = [total]
+        for lo in range(0, len(sym), step):
+            run.append(run[-1][-1] + np.cumsum(sent.value[sym[lo : lo + step]], axis=0, dtype=float))
+            cut = at[1:][(at[1:] > lo) & (at[1:] <= lo + step)]
+            x[np.searchsorted(at[1:], cut)] = run[-1][cut - lo - 1]
+            run = [run[-1][-1:]]
+        return np.diff(x, axis=0, prepend=0.0) / np.diff(at)[:, None]
+
+    def moments(sym, at):
+        x, n = places(sym, at), np.diff(at).astype(float)
+        return np.concatenate([(x * n[:, None]).T @ x, (n @ x)[None], np.full((1, dim), n.sum())])
+
+    sums = _summed(docs, text_col, moments, (dim + 2, dim), symbols)
+    n = max(sums[dim + 1, 0], 1.0)
+    mean = sums[dim] / n
+    size, axes = np.linalg.eigh(sums[:dim] / n - np.outer(mean, mean))
+    main = axes[:, ::-1][:, : (states + 1) // 2] / np.sqrt(np.maximum(size[::-1][: (states + 1) // 2], 1e-12))
+
+    def groups(sym, at):
+        y = (places(sym, at) - mean) @ main
+        group = np.stack([y, -y], 2).reshape(len(y), -1)[:, :states].argmax(1)
+        return np.bincount(sym * states + np.repeat(group, np.diff(at)), minlength=(symbols + 2) * states).reshape(-1, states)
+
+    own = _summed(docs, text_col, groups, (symbols + 2, states), symbols)
+    B = (own + 500 * prior[:, None]) / (own.sum(0) + 500)
     A = np.full((states, states), 0.1 / max(states - 1, 1))
     np.fill_diagonal(A, 0.9 if states > 1 else 1.0)
     return np.full(states, 1 / states), A, B
@@ -212,7 +243,7 @@ class HmmModel:
         self.params, self.prior, self.counts, self.tokens, self.words, self.symbols, self.log = params, prior, counts, tokens, words, symbols, list(log)
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", states: int = 6, symbols: int = 1 << 14, iterations: int = 2, seeds: int = 256, strength: float = 5000.0) -> HmmModel:
+def fit(docs: DataFrame, *, text_col: str = "text", states: int = 6, symbols: int = 1 << 14, iterations: int = 2, strength: float = 5000.0) -> HmmModel:
     """Train on all of docs. strength: pseudo-counts of the class prior in each state."""
     docs = docs.select("doc_id", text_col)
     counts = materialize(word_counts(docs, text_col), "word-counts")
@@ -226,7 +257,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", states: int = 6, symbols: in
         prior[r["k"]] = r["s"] / scale
     prior[symbols] = 1 / scale
     prior = np.maximum(prior, 1e-300)
-    params, log = start_values(docs, text_col, prior, states, symbols, seeds), []
+    params, log = start_values(docs, text_col, prior, states, symbols), []
     for _ in range(iterations if tokens else 0):
         emit, flow, first, ll = baum_welch_step(docs, text_col, params, symbols)
         log.append(float(ll))

@@ -410,6 +410,24 @@ def test_hmm_rare_words(spark, odd, none):
     assert rows(hmm.score(empty, extra))[0]["n_known"] == 0 and hmm.score(empty, none).count() == 0
 
 
+def test_start_values_whole(spark):
+    """Start values count every token of every training document, far ones and late ones too."""
+    texts = [" ".join(f"w{(i % 2) * 50 + k % 40}" for k in range(30 + i)) for i in range(600)] + [None, "one", "x " * 15_000 + "late " * 7]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    prior = np.full(66, 1 / 66)
+    pi, A, B = hmm.start_values(df, "text", prior, 2, 64)
+    assert np.allclose(B.sum(0), 1) and np.allclose(A.sum(1), 1)
+    n = sum(len((t or "").split()) + 1 for t in texts)
+    seen = []
+    summed = hmm._summed
+    try:
+        hmm._summed = lambda *a: seen.append(summed(*a)) or seen[-1]
+        hmm.start_values(df, "text", prior, 2, 64)
+    finally:
+        hmm._summed = summed
+    assert seen[0][-1, 0] == n and seen[1].sum() == n
+
+
 # ---- 7 language
 
 
